@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folioforge.llm import line_dedup, sharding
+from folioforge.llm import audio, line_dedup, packing, sharding
 
 QUERIES = {
+    "op1_audio_features": audio.op1_audio_features,
     "op3_jump_shards": sharding.op3_jump_shards,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES = {
