@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, line_dedup, packing, sharding
+from folioforge.llm import audio, language_id, line_dedup, packing, sharding
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
     "op3_jump_shards": sharding.op3_jump_shards,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op8_language_id": language_id.op8_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
