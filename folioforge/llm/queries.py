@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, language_id, line_dedup, ngram_join, packing, sharding
+from folioforge.llm import audio, language_id, line_dedup, ngram_join, packing, quality, sharding
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
     "op3_jump_shards": sharding.op3_jump_shards,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_language_id": language_id.op8_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
