@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, language_id, line_dedup, ngram_join, packing, quality, sharding
+from folioforge.llm import audio, decontaminate, language_id, line_dedup, ngram_join, packing, quality, sharding
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_language_id": language_id.op8_language_id,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
