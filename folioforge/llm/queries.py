@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, decontaminate, language_id, line_dedup, ngram_join, packing, quality, sharding
+from folioforge.llm import audio, decontaminate, language_id, line_dedup, ngram_join, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
+    "op2_pii": pii.op2_pii,
     "op3_jump_shards": sharding.op3_jump_shards,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_quality": quality.op6_quality,
