@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, decontaminate, language_id, line_dedup, ngram_join, packing, pii, quality, sharding
+from folioforge.llm import audio, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, pii, quality, sharding
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
     "op2_pii": pii.op2_pii,
     "op3_jump_shards": sharding.op3_jump_shards,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_quality": quality.op6_quality,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_language_id": language_id.op8_language_id,
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op3_jump_shards": sharding.SHARD_SQL,
     "op4_line_dedup": line_dedup.LINE_SQL,
+    "op5_license_scan": licenses.LICENSE_SQL,
 }
