@@ -1,2 +1,325 @@
+"""Allocation: each paper spends 28 distinct facts on four sections.
+
+The choice is sequential by nature: a fact is spent once, stems must differ from all
+before, and answers are capped. So papers run side by side, one group each, over
+candidates that were worked out before; within a paper the scarcest shape goes first.
+Every order that looks random is an order by md5 of seed, version and what is ordered.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioforge import lexicon as L
+from folioforge.errors import GenerationError
+from folioforge.functions import romanian as R
+
+ITEMS = "paper_id string, version int, section string, ordinal int, question string, options map<string,string>, correct array<string>, left_column array<string>, fact_ids array<string>"
+_ITEM_NAMES = [c.split()[0] for c in ITEMS.split(", ")]
+_MORE = "Adăugați încă un capitol la selecție."
+
+
 class StemLedger:
-    def claim(self, s): return True
+    """The word sets of the stems taken so far. Strictly, a stem that shares OVERLAP of the larger
+    set with one of them is refused; else only the same set is."""
+
+    def __init__(self) -> None:
+        self.taken: list[frozenset[str]] = []
+
+    def claim(self, stem: str, strict: bool = True) -> bool:
+        words, limit = R.word_set(stem), L.OVERLAP if strict else 1.0
+        if not words or any(len(words & t) >= limit * max(len(words), len(t)) for t in self.taken):
+            return False
+        self.taken.append(words)
+        return True
+
+
+@dataclass(frozen=True)
+class Candidate:
+    """A fact and what it can become."""
+
+    id: str
+    chapter: tuple[str, int]
+    object: str
+    quality: bool
+    statement: str
+    options: tuple[str, ...]
+    shape: dict = field(hash=False, compare=False)
+
+    def stem(self, name: str) -> R.Stem | None:
+        s = self.shape[name]
+        return R.Stem(**s) if s is not None else None
+
+    def blank(self, rivals: list | None) -> R.Stem | None:
+        """The first blank that doesn't lead, or leads and can only mean this name."""
+        for s in self.shape["blanks"]:
+            b = R.Stem(**s)
+            if not b.tail or (rivals and R.unambiguous(b.tail, self.object, rivals)):
+                return b
+        return None
+
+    def clear_wh(self, rivals: list) -> R.Stem | None:
+        s = self.stem("wh")
+        return s if s and R.unambiguous(s.segment, self.object, rivals) else None
+
+
+def swap(statement: str, name: str, new: str) -> str:
+    """The last whole-word hit replaced."""
+    *_, hit = R.whole_word(name).finditer(statement)
+    return statement[: hit.start()] + new + statement[hit.end() :]
+
+
+def replacement(fact: Candidate, statement: str, pool: Iterable[Candidate], gendered: bool) -> str | None:
+    """Another name for the last hit: of one class and gender first, then class, gender, any;
+    own options before the pool. ``gendered`` stops after the first."""
+    *_, hit = R.whole_word(fact.object).finditer(statement)
+    rest = f"{statement[: hit.start()]} {statement[hit.end() :]}"
+    lead = (statement[: hit.start()].split() or [""])[-1].lower()
+    pool = list(pool)
+    inside = {c.object for c in pool}
+
+    def safe(v: str) -> bool:
+        doubled = lead in L.DEFINITE_LEAD and v in L.ARTICLED
+        return v != L.OBLIQUE_DEITY and not R.same_referent(v, fact.object) and not doubled and not R.mentions(rest, v) and R.compatible(v, fact.object)
+
+    values = [v for v in dict.fromkeys([*(o for o in fact.options if o in inside), *(c.object for c in pool if c.id != fact.id)]) if safe(v)]
+    like = lambda v: (L.swap_class(v) == L.swap_class(fact.object), L.gender(v) == L.gender(fact.object))
+    tiers: list[Callable[[str], bool]] = [lambda v: all(like(v)), lambda v: like(v)[0], lambda v: like(v)[1], lambda v: True]
+    for tier in tiers[: 1 if gendered else 4]:
+        if best := next(filter(tier, values), None):
+            return best
+    return None
+
+
+class Paper:
+    def __init__(self, facts: list[Candidate], seed: int, version: int, avoid: frozenset[str] = frozenset()):
+        self.all, self.seed, self.version, self.avoid = facts, seed, version, avoid
+        self.facts = [f for f in facts if f.quality]
+        if len(self.facts) < L.QUALITY_ITEMS or len(facts) < L.TOTAL_ITEMS:
+            raise GenerationError(f"Un test complet folosește {L.TOTAL_ITEMS} versete distincte, dintre care {L.QUALITY_ITEMS} cu un nume recunoscut. Selecția are {len(facts)} versete ({len(self.facts)} cu nume). {_MORE}")
+        self.used: set[str] = set()
+        self.ledger = StemLedger()
+        self.items: list[dict] = []
+        self.rivals = [(f.object, frozenset(w)) for f in self.facts for w in f.shape["rivals"]]
+        self.pool = sorted(self._round_robin(), key=lambda f: f.id in avoid)
+        self.for_ii = {f.id for f in self.facts if f.blank(None) or f.clear_wh(self.rivals)}
+
+    # -- orders
+
+    def _key(self, *parts: object) -> str:
+        return hashlib.md5("|".join(map(str, (self.seed, self.version, *parts))).encode()).hexdigest()
+
+    def _mixed(self, values: Iterable, salt: object) -> list:
+        return sorted(values, key=lambda v: self._key(salt, v))
+
+    def _round_robin(self) -> list[Candidate]:
+        by: dict[tuple, list[Candidate]] = {}
+        for f in self.facts:
+            by.setdefault(f.chapter, []).append(f)
+        turn = {f.id: i for own in by.values() for i, f in enumerate(sorted(own, key=lambda f: self._key(f.id)))}
+        return sorted(self.facts, key=lambda f: (turn[f.id], self._key(*f.chapter)))
+
+    # -- sections
+
+    def _add(self, section: str, question: str, fact_ids: list[str], options: dict | None = None, correct: list[str] | None = None, left: list[str] | None = None) -> None:
+        ordinal = 1 + sum(i["section"] == section for i in self.items)
+        self.items.append({"section": section, "ordinal": ordinal, "question": question, "options": options, "correct": correct, "left_column": left, "fact_ids": fact_ids})
+
+    def _reserve(self, facts: list[Candidate], text: Callable[[Candidate], str | None], what: str) -> list[Candidate]:
+        got: list[Candidate] = []
+        for strict in (True, False):
+            for f in facts:
+                if len(got) < 5 and f.id not in self.used and (t := text(f)) and self.ledger.claim(t, strict):
+                    got.append(f)
+                    self.used.add(f.id)
+        if len(got) < 5:
+            raise GenerationError(f"Secțiunea I are nevoie de 5 afirmații {what}, dar selecția a produs doar {len(got)}. {_MORE}")
+        return got
+
+    def section_i(self) -> tuple[list[tuple[Candidate, str]], list[Candidate]]:
+        """False statements first: whatever can be made false can be true as well."""
+        swaps: dict[str, tuple[str, bool]] = {}
+        for f in self.pool:
+            s = f.shape["concise_named"]
+            if s and f.object != L.OBLIQUE_DEITY:
+                kept = replacement(f, s, self.facts, True)
+                if new := kept or replacement(f, s, self.facts, False):
+                    swaps[f.id] = (swap(s, f.object, new), kept is not None)
+        false = sorted((f for f in self.pool if f.id in swaps), key=lambda f: (not swaps[f.id][1], f.id in self.for_ii))
+        false = self._reserve(false, lambda f: f.shape["concise_named"], "false")
+        plain = [f for f in self.all if not f.quality]
+        true = self._reserve(plain + sorted(self.pool, key=lambda f: f.id in self.for_ii), lambda f: f.shape["concise"], "adevărate")
+        return [(f, swaps[f.id][0]) for f in false], true
+
+    def _choice(self, stem: str, values: list[str], right: list[str], fact: Candidate, strict: bool) -> bool:
+        if R.distinct_referents(values, 3) is None or not self.ledger.claim(stem, strict):
+            return False
+        options = dict(zip("ABC", self._mixed(values, ("IV", fact.id)), strict=True))
+        self._add("IV", stem, [fact.id], options, [k for k, v in options.items() if v in right])
+        self.used.add(fact.id)
+        return True
+
+    def _list_values(self, fact: Candidate, wanted: int, foreign: list[str]) -> tuple[list[str], list[str]] | None:
+        right = list(fact.shape["list_members"][:wanted])
+        if len(right) < wanted:
+            return None
+        registers, size = {R.register(v) for v in right}, sum(len(v.split()) for v in right) / wanted
+        other = [v for v in foreign if v not in fact.shape["list_members"] and not R.mentions(fact.statement, v) and R.register(v) in registers and R.member_kind(v) == R.member_kind(right[0])]
+        near = list({v.lower(): v for v in reversed(sorted(other, key=lambda v: abs(len(v.split()) - size)))}.values())[::-1][: 3 - wanted]
+        return (right, right + near) if len(near) == 3 - wanted else None
+
+    def section_iv(self, pool: list[Candidate]) -> None:
+        lists = [f for f in pool if f.shape["list_stem"]]
+        foreign = [m for f in lists for m in f.shape["list_members"]]
+        count = lambda: sum(i["section"] == "IV" for i in self.items)
+        for reserved, strict in ((False, True), (False, False), (True, True), (True, False)):
+            for wanted in (3, 2, 1):
+                for f in lists:
+                    if count() < 3 and f.id not in self.used and (found := self._list_values(f, wanted, foreign)):
+                        self._choice(f.shape["list_stem"], found[1], found[0], f, strict)
+            for f in pool:
+                if count() == 3:
+                    return
+                if f.id in self.used or (f.id in self.for_ii and not reserved) or not (s := f.blank(None) or f.clear_wh(self.rivals)):
+                    continue
+                others = dict.fromkeys(c.object for c in self.facts if not R.mentions(s.segment, c.object) and R.compatible(c.object, f.object) and c.object != L.OBLIQUE_DEITY)
+                if values := R.distinct_referents([f.object, *others], 3):
+                    self._choice(s.stem, values, [f.object], f, strict)
+        if count() < 3:
+            raise GenerationError("Nu s-au putut construi trei întrebări verificabile pentru Secțiunea IV.")
+
+    def matching_rows(self, pool: list[Candidate]) -> list[tuple[Candidate, str, str]]:
+        rows: list[tuple[Candidate, str, str]] = []
+        for deity in (False, True):
+            for f in pool:
+                clause, names = f.shape["named"], [r[1] for r in rows]
+                fresh = clause and f.id not in self.used and f.id not in self.for_ii and f.object not in names and clause not in [r[2] for r in rows]
+                if len(rows) < 5 and fresh and (deity or f.object not in L.DEITY) and not R.inflects(f.object, names):
+                    rows.append((f, f.object, clause))
+                    self.used.add(f.id)
+        return rows
+
+    def section_iii(self, rows: list[tuple[Candidate, str, str]]) -> None:
+        for shape in ("halves", "named"):
+            for f in self.pool:
+                left, right = (f.shape["left"], f.shape["right"]) if shape == "halves" else (f.object, f.shape["named"])
+                if len(rows) == 5 or f.id in self.used or not left or not right:
+                    continue
+                if left.lower() in {r[1].lower() for r in rows} or right in [r[2] for r in rows] or (shape == "named" and R.inflects(left, [r[1] for r in rows])):
+                    continue
+                rows.append((f, left, right))
+                self.used.add(f.id)
+        if len(rows) < 5:
+            raise GenerationError(f"Secțiunea III are nevoie de 5 asocieri, dar selecția a produs doar {len(rows)}. {_MORE}")
+        column = dict(zip("ABCDE", self._mixed([r[2] for r in rows], "III"), strict=True))
+        letter = {v: k for k, v in column.items()}
+        self._add("III", "", [r[0].id for r in rows], column, [letter[r[2]] for r in rows], [r[1] for r in rows])
+
+    def _available(self, shape: str, f: Candidate, answer: str) -> Iterable[str]:
+        if shape == "numeral":
+            value, seen = L.NUMERALS[answer], set()
+            for v in dict.fromkeys([*(n for c in self.facts for n in c.shape["numerals"]), *L.FALLBACK_NUMERALS]):
+                if L.NUMERALS[v] != value and L.NUMERALS[v] not in seen:
+                    seen.add(L.NUMERALS[v])
+                    yield v
+        elif shape == "place":
+            yield from dict.fromkeys(p for c in self.facts for p in c.shape["places"] if p != answer)
+        else:
+            yield from dict.fromkeys([*f.options, *(c.object for c in self.facts)])
+
+    def section_ii(self) -> None:
+        """Least used shape first; siblings' facts are put off, then caps and likeness are eased."""
+        letters = [("ABC" * 4)[i] for i in range(10)]
+        letters = [letters[i] for i in self._mixed(range(10), "letters")]
+        answers: Counter[str] = Counter()
+        shapes = dict.fromkeys(("blank", "wh", "place", "numeral"), 0)
+        low, high = L.ANSWER_CAPS
+        made = 0
+        for skip in (True, False):
+            for cap, strict in ((low, True), (high, True), (high, False)):
+                for f in self.pool:
+                    if made == 10:
+                        return
+                    if f.id in self.used or (skip and f.id in self.avoid):
+                        continue
+                    for shape in sorted(shapes, key=shapes.__getitem__):
+                        s = f.blank(self.rivals) if shape == "blank" else f.clear_wh(self.rivals) if shape == "wh" else f.stem(shape)
+                        if not s or answers[s.answer] >= cap:
+                            continue
+                        others = (v for v in self._available(shape, f, s.answer) if v != L.OBLIQUE_DEITY and not R.mentions(s.segment, v) and R.compatible(v, s.answer))
+                        values = R.distinct_referents([s.answer, *others], 3)
+                        if values is None or not self.ledger.claim(s.stem, strict):
+                            continue
+                        wrong = self._mixed(values[1:], ("II", f.id))
+                        wrong.insert("ABC".index(letters[made]), s.answer)
+                        self._add("II", s.stem, [f.id], dict(zip("ABC", wrong, strict=True)), [letters[made]])
+                        self.used.add(f.id)
+                        answers[s.answer] += 1
+                        shapes[shape] += 1
+                        made += 1
+                        break
+        if made < 10:
+            raise GenerationError(f"Secțiunea II are nevoie de 10 întrebări, dar selecția a produs doar {made}. {_MORE}")
+
+    def build(self) -> list[dict]:
+        false, true = self.section_i()
+        pool = sorted(self.pool, key=lambda f: f.id in self.for_ii)
+        self.section_iv(pool)
+        rows = self.matching_rows(pool)
+        self.section_ii()
+        self.section_iii(rows)
+        marks, salt = [True] * 5 + [False] * 5, 0
+        while salt == 0 or len(set(marks[::2])) == 1:  # never strictly in turn
+            marks, salt = [i < 5 for i in self._mixed(range(10), ("I", salt))], salt + 1
+        for mark in marks:
+            f, text = (true.pop(0), None) if mark else false.pop(0)
+            self._add("I", text or f.shape["concise"], [f.id], None, ["A" if mark else "F"])
+        return self.items
+
+
+def build_versions(facts: list[Candidate], seed: int, first: int, count: int) -> Iterator[tuple[int, list[dict]]]:
+    """Each version is told what the ones before have spent."""
+    spent: frozenset[str] = frozenset()
+    for version in range(first, first + count):
+        items = Paper(facts, seed, version, spent).build()
+        spent |= {i for item in items for i in item["fact_ids"]}
+        yield version, items
+
+
+def _candidates(group: pd.DataFrame) -> list[Candidate]:
+    from folioforge.operators.candidates import NAMES
+
+    out = []
+    for r in group.to_dict("records"):
+        plain = lambda v: None if v is None else [plain(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, (str, dict)) else v
+        shape = {n: plain(r[n]) for n in NAMES}
+        shape |= {n: [tuple(w) if isinstance(w, list) else w for w in shape[n] or []] for n in ("blanks", "rivals", "numerals", "places", "list_members")}
+        out.append(Candidate(r["id"], (r["evidence"]["book"], r["evidence"]["chapter"]), r["object"], bool(r["quality"]), r["statement"], tuple(r["options"]), shape))
+    return out
+
+
+def papers(facts: DataFrame, selections: DataFrame, seed: int = 12345, first: int = 1, versions: int = 1) -> DataFrame:
+    """Items of every paper. ``facts`` have candidates; ``selections`` are (paper_id, book, chapter).
+
+    A paper that can't be filled has one row of section ``error`` with the reason, so that
+    one thin selection doesn't stop the others. Papers hold some hundred facts each.
+    """
+    chosen = facts.join(F.broadcast(selections.distinct()), (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).drop("book", "chapter")
+
+    def allocate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        try:
+            for version, items in build_versions(_candidates(group.sort_values("pos", key=lambda c: c.map(lambda p: tuple(p.values()) if isinstance(p, dict) else p))), seed, first, versions):
+                rows += [{"paper_id": key[0], "version": version, **i} for i in items]
+        except GenerationError as e:
+            rows.append({"paper_id": key[0], "version": len({r["version"] for r in rows}) + first, "section": "error", "ordinal": 0, "question": str(e), "options": None, "correct": None, "left_column": None, "fact_ids": []})
+        return pd.DataFrame(rows, columns=_ITEM_NAMES)
+
+    return chosen.groupBy("paper_id").applyInPandas(allocate, ITEMS)
