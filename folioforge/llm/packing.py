@@ -27,6 +27,7 @@ PIECES_PER_GROUP = 20_000
 ROUNDS = 3
 END_ID = 1
 _FULL = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, open boolean"
+_COLUMNS = [c.split()[0] for c in _FULL.split(", ")]
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -119,12 +120,21 @@ def _packed(group: pd.DataFrame, part: int, capacity: int) -> pd.DataFrame:
     return group.assign(part=part, sequence_id=(part << 24) + bins, offset=offset, open=free[bins])
 
 
+def _repacker(round_no: int, capacity: int):
+    """Packs a pool anew; the old bins stay if that saves none."""
+
+    def again(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        new = _packed(group, (round_no << 30) + int(key[0]), capacity)
+        return (new if (new["offset"] == 0).sum() < (group["offset"] == 0).sum() else group)[_COLUMNS]
+
+    return again
+
+
 def pack(pieces: DataFrame, capacity: int, pieces_per_group: int = PIECES_PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
     """``pieces`` (see pieces_of) with sequence_id and offset, gapless in each sequence.
 
     An empty table gives an empty table.
     """
-    columns = [c.split()[0] for c in _FULL.split(", ")]
     pieces = settle(pieces, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most one row a length
@@ -132,7 +142,7 @@ def pack(pieces: DataFrame, capacity: int, pieces_per_group: int = PIECES_PER_GR
     best, groups = lower_bound(counts, capacity), max(1, math.ceil(int(counts.sum()) / pieces_per_group))
 
     def first(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return _packed(group, int(key[0]), capacity)[columns]
+        return _packed(group, int(key[0]), capacity)[_COLUMNS]
 
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("spread", "doc_id", "piece"), F.lit(groups)))
     state = settle(dealt.groupBy("_group").applyInPandas(first, _FULL), "packed")
@@ -143,12 +153,8 @@ def pack(pieces: DataFrame, capacity: int, pieces_per_group: int = PIECES_PER_GR
         given = state.where("open")
         pools = max(1, math.ceil(given.count() / pieces_per_group))
 
-        def again(key: tuple, group: pd.DataFrame, round_no: int = round_no) -> pd.DataFrame:
-            new = _packed(group, (round_no << 30) + int(key[0]), capacity)[columns]
-            return new if (new["offset"] == 0).sum() < (group["offset"] == 0).sum() else group[columns]
-
         mixed = given.withColumn("_group", F.pmod(F.xxhash64("part", F.lit(round_no)), F.lit(pools)))
-        new = settle(state.where("not open").unionByName(mixed.groupBy("_group").applyInPandas(again, _FULL)), "packed")
+        new = settle(state.where("not open").unionByName(mixed.groupBy("_group").applyInPandas(_repacker(round_no, capacity), _FULL)), "packed")
         saved = bins - new.where("offset = 0").count()
         state, bins = new, bins - saved
         if saved <= 0:
