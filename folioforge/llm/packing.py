@@ -85,12 +85,13 @@ def pieces_of(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_i
             keys, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 512):
                 out: list[tuple] = []
-                for key, text in zip(keys.slice(at, 512).to_pylist(), texts.slice(at, 512), strict=True):
-                    ids = np.append(words.ids(text.as_py() or b""), np.uint32(END_ID)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
+                data = [t or b"" for t in texts.slice(at, 512).to_pylist()]
+                for key, ids in zip(keys.slice(at, 512).to_pylist(), words.encode(data), strict=True):
+                    ids += END_ID.to_bytes(4, "little")
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[start : start + 4 * capacity]
                         row += 1
-                        out.append((key, piece, start, len(own), zlib.crc32(own.tobytes()), row) + ((own.astype(np.int32).tolist(),) if keep_ids else ()))
+                        out.append((key, piece, start // 4, len(own) // 4, zlib.crc32(own), row) + ((np.frombuffer(own, "<i4").tolist(),) if keep_ids else ()))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "spread"] + ["ids"] * keep_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
