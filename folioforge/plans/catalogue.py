@@ -187,8 +187,8 @@ def missing_scope_anti(spark, sf_dir):
 @_query(
     """WITH expected AS (SELECT l_orderkey, unnest(range(1, count(*) + 1))::INT AS line FROM lineitem GROUP BY 1),
     found AS (SELECT DISTINCT l_orderkey, l_linenumber AS line FROM lineitem)
-    SELECT l_orderkey, line, CASE WHEN f.line IS NULL THEN 'missing' ELSE 'extra' END AS problem
-    FROM (SELECT l_orderkey, line, 1 AS e FROM expected) e FULL JOIN (SELECT l_orderkey, line, 1 AS f FROM found) f USING (l_orderkey, line) WHERE e IS NULL OR f IS NULL""".replace("f.line IS NULL", "f IS NULL")
+    SELECT l_orderkey, line, CASE WHEN f IS NULL THEN 'missing' ELSE 'extra' END AS problem
+    FROM (SELECT l_orderkey, line, 1 AS e FROM expected) e FULL JOIN (SELECT l_orderkey, line, 1 AS f FROM found) f USING (l_orderkey, line) WHERE e IS NULL OR f IS NULL"""
 )
 def manifest_check(spark, sf_dir):
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"))
@@ -467,3 +467,57 @@ def uniqueness_violations(spark, sf_dir):
 def bijection_check(spark, sf_dir):
     g = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("priorities"))
     return g.select("*", ((F.col("n") == F.col("priorities")) & (F.col("n") == 5)).alias("bijection"))
+
+
+# ---------------------------------------------------------------- whole papers
+
+_NAMES = ["Samuel", "David", "Saul", "Ionatan", "Abner", "Ioab", "Natan", "Absalom", "Ana", "Penina", "Eli", "Goliat", "Isai", "Domnul"]
+_DEEDS = ["a adus grâu din câmpul cel mare", "a zidit o casă lângă poarta cetății", "a chemat poporul la munte", "a trimis daruri scumpe preoților", "a păzit turma toată noaptea", "a citit legea înaintea adunării", "a trecut râul spre dimineață", "a găsit o fântână veche", "a cumpărat un ogor roditor", "a deschis porțile templului", "a plantat măslini pe deal"]
+_ENDS = ["cu mare bucurie", "fără nicio teamă", "în luna a treia", "după multe zile", "la porunca regelui", "spre seară târziu", "cu toată casa sa"]
+
+
+def _customer_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verses made of customers: a nation is a book, a market segment a chapter."""
+    people, nations = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "nation")
+    key = F.col("c_custkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+    name, deed, end = pick(_NAMES, key), pick(_DEEDS, key * 7 + F.floor(key / 14)), pick(_ENDS, key * 3 + F.floor(key / 19))
+    told = F.when(key % 3 == 0, F.concat(F.lit("În anul acela bogat "), name, F.lit(" "), deed, F.lit(" "), end, F.lit(", iar bătrânii cetății au lăudat fapta bună.")))
+    told = told.otherwise(F.concat(F.lit("Regele "), name, F.lit(" "), deed, F.lit(" "), end, F.lit(". Toți oamenii locului au cinstit fapta lui "), pick(_NAMES, key * 5 + 3), F.lit(".")))
+    chapter = F.dense_rank().over(W.partitionBy("n_name").orderBy("c_mktsegment"))
+    rows = people.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("book"), chapter.alias("chapter"), key.cast("int").alias("verse"), told.alias("text"))
+    return rows
+
+
+def _customer_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    from folioforge.operators.candidates import with_candidates
+    from folioforge.operators.facts import facts_of
+    from folioforge.plans.paper import papers
+
+    verses = _customer_verses(spark, sf_dir)
+    facts = facts_of(verses)
+    selections = verses.select(F.col("book").alias("paper_id"), "book", "chapter").distinct()
+    return papers(with_candidates(facts), selections, SEED, 1, 2), selections, facts, verses
+
+
+@_query()
+def paper_allocate(spark, sf_dir):
+    """Two versions of a paper for each nation."""
+    return _customer_papers(spark, sf_dir)[0].drop("options")
+
+
+@_query()
+def paper_violations(spark, sf_dir):
+    """What the checks find in those papers: no row."""
+    from folioforge.plans.validate import evidence, structural
+
+    items, selections, facts, verses = _customer_papers(spark, sf_dir)
+    return structural(items, selections, facts).unionByName(evidence(items, facts, verses, selections))
+
+
+@_query()
+def paper_coverage(spark, sf_dir):
+    from folioforge.plans.validate import coverage as cited
+
+    items, _, facts, _ = _customer_papers(spark, sf_dir)
+    return cited(items, facts)
