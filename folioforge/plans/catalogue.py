@@ -495,9 +495,10 @@ def _customer_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     from folioforge.plans.paper import papers
 
     verses = _customer_verses(spark, sf_dir)
-    facts = facts_of(verses)
+    facts = facts_of(verses).cache()
     selections = verses.select(F.col("book").alias("paper_id"), "book", "chapter").distinct()
-    return papers(with_candidates(facts), selections, SEED, 1, 2), selections, facts, verses
+    items = papers(with_candidates(facts), selections, SEED, 1, 2).cache()  # each rule reads them
+    return items, selections, facts, verses
 
 
 @_query()
