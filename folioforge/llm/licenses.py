@@ -43,7 +43,7 @@ def anchors_of(bigrams: list[str], least: float) -> set[str]:
     """Words such that every set of Dice ``least`` or more holds one: they are in over a
     share 1 - least / (2 - least) of the bigrams. Long words come first, since they are rare."""
     left, out, covered = set(bigrams), set(), 0
-    while covered <= (1 - least / (2 - least)) * len(bigrams):
+    while covered <= (1 - least / (2 - least)) * len(bigrams) + 1e-9:
         words = sorted({w for b in left for w in b.split()})
         best = max(words, key=lambda w: (min(len(w), 7), sum(w in b.split() for b in left)))
         hit = {b for b in left if best in b.split()}

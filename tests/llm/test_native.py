@@ -1,0 +1,160 @@
+"""Sharding, line dedup, personal data and licences against plain versions."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from folioforge.llm import licenses, line_dedup, pii, sharding
+
+ODD = [None, "", "\n\n", "a\nb", "É" * 45 + "\nx", "a\x00b", " \t ", "line one that is long enough to be counted as a common one\nshort"]
+
+
+def jump(key: int, n: int) -> int:
+    key, b, j = key % 2**64, -1, 0
+    while j < n:
+        b, key = j, (key * sharding.MULTIPLIER + 1) % 2**64
+        j = int((b + 1) * (2147483648.0 / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_matches_the_published_loop(spark):
+    keys = [*range(-50, 400), 2**63 - 1, -(2**63), 12345678901234567]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (1, 2, 8, 9, 100):
+        got = {r[0]: r[1] for r in df.select("k", sharding.jump_hash(F.col("k"), n)).collect()}
+        assert got == {k: jump(k, n) for k in keys}
+    assert all(r["a"] == r["b"] or r["b"] == 8 for r in df.select(sharding.jump_hash(F.col("k"), 8).alias("a"), sharding.jump_hash(F.col("k"), 9).alias("b")).collect())
+
+
+def test_slots_are_gapless(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 7)
+    rows = [(i if i % 5 else None, f"t{i}", i) for i in range(300)] + [(7, "again", 0)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, shard string, slot long").withColumnRenamed("shard", "other")
+    out = sharding.shard(df.drop("slot"), "doc_id", 4, slot_col="slot").collect()
+    assert len(out) == len(rows)
+    for s in range(4):
+        own = sorted((r["slot"], r["doc_id"] or 0) for r in out if r["shard"] == s)
+        assert [x for x, _ in own] == list(range(len(own)))
+    assert sharding.shard(df.limit(0), "doc_id", 4, slot_col="n").count() == 0
+    assert {r["shard"] for r in sharding.shard(spark.createDataFrame([("x",), (None,)], "doc_id string"), "doc_id", 3).collect()} <= {0, 1, 2}
+
+
+def test_shard_query_columns(spark, tmp_path):
+    texts = [*ODD, "șț"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in sharding.op3_jump_shards(spark, str(tmp_path)).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(data) + 1, zlib.crc32(data), "key")
+        assert (r["shard"], r["grown_shard"]) == (jump(r["doc_id"], 8), jump(r["doc_id"], 9))
+
+
+def plain_dedup(rows, min_docs=5, min_chars=40):
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= min_chars and i is not None:
+                held.setdefault(k, []).append(i)
+    gone = {k: max(v) for k, v in held.items() if len(v) >= min_docs}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if gone.get(key(x), i) == i and (key(x) not in gone or i is not None)]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_line_dedup(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
+    hot, twice = "  The same Line in many documents, over and over again\t", "Ä" * 39 + "b"
+    rows = [(i, f"own {i}\n{hot if i % 2 else hot.upper().strip()}\n{twice}\n{hot}") for i in range(9)] + [(100 + i, t) for i, t in enumerate(ODD)]
+    rows += [(200, twice.lower()), (None, hot), (201, "x" * 39 + "\n" + "x" * 40)] + [(300 + i, "x" * 39 + "\n" + "x" * 40) for i in range(4)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, keeper int")
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
+    assert got == plain_dedup(rows)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- personal data
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_base(t: str) -> list[tuple[int, int, int]]:
+    out = []
+    for k, (name, p) in enumerate(RULES.items()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            keep = {"email": True, "ip": name == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[name]
+            out += [(m.start(), k, m.end())] if keep else []
+    return sorted(out)
+
+
+PII = [
+    "a@b.c_d@e.f", "x@y@z.com", "1.2.3.4.5.6.7.8", "999.1.1.1 001.02.3.4", "+1+2 345 678 9012 3", "4539 1488 0343 6467 4539148803436467", "é" * 50 + "foo@bar.co é 1.2.3.4",
+    "1 " * 2000, "a.b@" + "x" * 5 + ".", ". ".join(f"u{i}@x{i}.org" for i in range(300)), "call (123) 456-7890 a(at)b(dot)com", "0" * 14, "+40 721 234 567 și 4111-1111-1111-1111", *ODD,
+]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(PII * 3)], "doc_id long, text string, kind int")
+    for r in pii.find(df).collect():
+        base = plain_base(r["text"] or "")
+        assert [tuple(s) for s in r["base"]] == base
+        assert set(base) <= {tuple(s) for s in r["spans"]} and r["kind"] == 0
+        assert [tuple(s) for s in r["spans"]] == sorted(map(tuple, r["spans"]))
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def test_boosted_trees_add_spans(spark):
+    rows = [(i, f"Call me on +1 ({i:03d}) 555-{1000 + i} 10.20.{i % 99}.4 about card 4539148803436467 or 123 {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    assert model.trees and model.thresholds
+    got = pii.find(df, model=model).collect()
+    phone = lambda r: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3]
+    assert any(p.endswith(f"555-{1000 + r['doc_id']}") for r in got for p in phone(r))  # base runs on into the address
+    x = [3, 11, 4, 0, 4, 0, 0, 1, 1, 4]
+    df = spark.createDataFrame([(x,)], "x array<int>")
+    assert abs(df.select(model.column(F.col("x"))).first()[0] - model.score(x)) < 1e-9
+
+
+def test_pii_query(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(PII)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in pii.op2_pii(spark, str(tmp_path)).collect():
+        base = plain_base(PII[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in RULES] == [sum(b[1] == k for b in base) for k in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{list(RULES)[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+
+
+# ---------------------------------------------------------------- licences
+
+
+def test_anchors_cover():
+    for t in licenses.TEMPLATES.values():
+        own = licenses.bigrams_of(t)
+        bare = [b for b in own if not set(b.split()) & licenses.anchors_of(own, 0.8)]
+        assert 2 * len(bare) / (len(bare) + len(own)) < 0.8
+
+
+def test_licence_scan(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    cut = mit[: mit.index("subject")]
+    texts = ["Intro\nReleased under the MIT License.\nmore", mit.upper(), f"Story.\n\n{mit[:200]}\n{mit[200:]}\n\nEnd of it all.", cut, "All rights reserved", "rights", None, "", "Licensed under CC BY 4.0."]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, license string")
+    got = {(r["doc_id"], r["license"]): r for r in licenses.scan(df).collect()}
+    assert set(got) == {(0, "MIT notice"), (1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "All rights reserved")}
+    assert got[0, "MIT notice"]["unit"] == "line" and got[2, "MIT"]["unit"] == "paragraph"
+    a, b = set(licenses.bigrams_of(cut)), set(licenses.bigrams_of(mit))
+    assert got[3, "MIT"]["dice"] == round(2 * len(a & b) / (len(a) + len(b)), 6)
+    assert licenses.scan(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan(df, templates={"x": "one"})
