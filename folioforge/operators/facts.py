@@ -26,17 +26,27 @@ def preferred_terms(verses: DataFrame, least: int = 2) -> DataFrame:
     return verses.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def target(text: Column, preferred: Column) -> Column:
-    """The first known name that isn't oblique, else the oblique one, else the first preferred
-    term, else the first of the longest words of five letters; a text with none is an error."""
-    names = capitalised(text)
-    known = F.filter(names, lambda w: w.isin(L.QUALITY_TERMS))
+def known_names(text: Column) -> Column:
+    return F.filter(capitalised(text), lambda w: w.isin(L.QUALITY_TERMS))
+
+
+def first_preferred(verses: DataFrame) -> DataFrame:
+    """(book, chapter, verse, proper): the first preferred term of each verse without a known
+    name. Terms grow with the corpus, so they are joined and not sent along."""
+    plain = verses.where(F.size(known_names(F.col("text"))) == 0)
+    each = plain.select("book", "chapter", "verse", F.posexplode(capitalised(F.col("text"))).alias("at", "term")).where(~F.col("term").isin(L.STOP_TERMS))
+    return each.join(preferred_terms(verses), "term", "left_semi").groupBy("book", "chapter", "verse").agg(F.min_by("term", "at").alias("proper"))
+
+
+def target(text: Column, proper: Column) -> Column:
+    """The first known name that isn't oblique, else the oblique one, else ``proper``, else the
+    first of the longest words of five letters; a text with none is an error."""
+    known = known_names(text)
     direct = F.filter(known, lambda w: w != L.OBLIQUE_DEITY)
-    proper = F.filter(names, lambda w: F.array_contains(preferred, w) & ~w.isin(L.STOP_TERMS))
     longest = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(_LONG), F.lit(0)), lambda w, i: F.struct((-F.char_length(w)).alias("n"), i.alias("i"), w.alias("w"))))["w"]
     first = lambda a: F.get(a, F.lit(0))
     none = F.raise_error(F.concat(F.lit("Nu pot extrage un răspuns verificabil din verset: "), text)).cast("string")
-    return F.coalesce(first(direct), first(known), first(proper), longest, none)
+    return F.coalesce(first(direct), first(known), proper, longest, none)
 
 
 def seed_options(facts: DataFrame) -> DataFrame:
@@ -52,14 +62,13 @@ def seed_options(facts: DataFrame) -> DataFrame:
 
 
 def facts_of(verses: DataFrame) -> DataFrame:
-    """A fact for each verse. Terms are a dimension of the corpus; they go along as one array."""
-    terms = preferred_terms(verses).agg(F.collect_list("term").alias("_preferred"))
-    known = verses.join(F.broadcast(terms))  # one row
+    """A fact for each verse."""
+    known = verses.join(first_preferred(verses), ["book", "chapter", "verse"], "left")
     where = F.concat_ws("-", "book", "chapter", "verse")
     facts = known.select(
         "book", "chapter", "verse", where.alias("id"), F.col("text").alias("statement"),
         F.concat(F.lit("versetul "), X.reference(F.col("book"), F.col("chapter"), F.col("verse"), F.col("verse"))).alias("subject"),
-        F.lit("completează").alias("predicate"), target(F.col("text"), F.col("_preferred")).alias("object"),
+        F.lit("completează").alias("predicate"), target(F.col("text"), F.col("proper")).alias("object"),
         F.struct("book", "chapter", F.col("verse").alias("verse_start"), F.col("verse").alias("verse_end"), "text").alias("evidence"),
     )
     facts = seed_options(facts.withColumn("quality", F.col("object").isin(L.QUALITY_TERMS)))

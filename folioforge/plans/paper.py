@@ -311,7 +311,7 @@ def papers(facts: DataFrame, selections: DataFrame, seed: int = 12345, first: in
     A paper that can't be filled has one row of section ``error`` with the reason, so that
     one thin selection doesn't stop the others. Papers hold some hundred facts each.
     """
-    chosen = facts.join(F.broadcast(selections.distinct()), (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).drop("book", "chapter")
+    chosen = facts.join(selections.distinct(), (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).drop("book", "chapter")
 
     def allocate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         rows = []

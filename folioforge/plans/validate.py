@@ -117,7 +117,7 @@ def evidence(items: DataFrame, facts: DataFrame, verses: DataFrame, selections:
     known = facts.select("id", F.struct("object", "evidence").alias("e"))
     single = papers.where("section <> 'III'").withColumn("id", F.col("fact_ids")[0]).join(known, "id")
     scope = selections.select("paper_id", "book", "chapter").distinct()
-    targets = facts.join(F.broadcast(scope), (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).groupBy("paper_id").agg(F.collect_set("object").alias("targets"))
+    targets = facts.join(scope, (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).groupBy("paper_id").agg(F.collect_set("object").alias("targets"))
     out = [_says(_true_false(single, targets), "affirmation isn't borne out"), _says(_lists(single), "a member of the list isn't credited")]
     answer = F.element_at("options", F.col("correct")[0])
     out.append(_says(single, "answer isn't in the verse", (F.col("section") == "II") & ~X.mentions(F.col("e.evidence.text"), answer)))

@@ -162,3 +162,16 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("seed: 7 # x\ncontest:\n  name: \"Alt\"\n  edition: 3\nscoring:\n  section_1: 9\n")
     config = load_config(tmp_path / "c.yaml")
     assert config["seed"] == 7 and config["contest"] == {"name": "Alt", "edition": 3} and config["scoring"]["section_1"] == 9 and config["scoring"]["section_4"] == 5
+
+
+def test_targets_by_rank(spark):
+    from folioforge.operators.facts import facts_of, preferred_terms
+
+    texts = ["Casa Domnului era a lui Saul.", "Chivotul Domnului sta acolo.", "În zori Hanun a venit.", "Mergea și Hanun cu oastea.", "Oastea cea mare plângea.", "Hanun, Hanun."]
+    verses = spark.createDataFrame([("Rut", 1, i, t) for i, t in enumerate(texts, 1)], "book string, chapter int, verse int, text string")
+    assert {tuple(r) for r in preferred_terms(verses).collect()} == {("Hanun", 3), ("Domnului", 2)}
+    facts = {r["evidence"]["verse_start"]: r for r in facts_of(verses).collect()}
+    assert [facts[i]["object"] for i in range(1, 7)] == ["Saul", "Domnului", "Hanun", "Hanun", "plângea", "Hanun"]
+    assert [facts[i]["quality"] for i in range(1, 7)] == [True, True, False, False, False, False]
+    with pytest.raises(Exception, match="verificabil"):
+        facts_of(spark.createDataFrame([("Rut", 1, 1, "a b c")], "book string, chapter int, verse int, text string")).collect()
