@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import enter_worker
+
 UNIT, PAD = 576, 255
 RATE, UP, DOWN = 12_000, 2, 3
 OUT_RATE = RATE * UP // DOWN
@@ -183,6 +185,7 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", data_col: str = "text"
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{n} {names[t]}" for n, t in made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_worker("audio")
         for batch in batches:
             data = batch.column(1).cast(pa.binary())
             for at in range(0, batch.num_rows, 256):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +44,22 @@ def plain_name(df: DataFrame, stem: str) -> str:
         i += 1
         name = f"{stem}_{i}"
     return name
+
+
+#: What operators keep in a worker process between tasks, and how it is dropped.
+WORKER_STORES: dict[str, Callable[[], None]] = {}
+
+
+def enter_worker(owner: str) -> None:
+    """At a task's start in Python: drop what other operators left in this worker, and give
+    freed memory back, so that workers that serve many operators don't add up their stores."""
+    for name, drop in WORKER_STORES.items():
+        if name != owner:
+            drop()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

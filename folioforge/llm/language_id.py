@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from folioforge.llm.common import enter_worker, settle
+
 #: An n-gram belongs to a language if it is at least this share of the language's n-grams
 #: (so a language has 1 / LEAST_RATE n-grams at most, which bounds the model) ...
 LEAST_RATE = 1e-5
@@ -126,8 +128,6 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
 
     known = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from folioforge.llm.common import settle
-
     counts = settle(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MOST_LANGUAGES + 1)
     found = sorted(((r["lang"], r["total"]) for r in totals.collect()), key=lambda x: (-x[1], x[0]))
@@ -151,6 +151,7 @@ def identify(df: DataFrame, model: Model, keep: list[str], text_col: str = "text
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_worker("language_id")
         for batch in batches:
             found = [shared.value.decide(x.as_py()) for x in batch.column(batch.num_columns - 1)]
             lang, score = zip(*found, strict=True) if found else ((), ())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import settle
+from folioforge.llm.common import enter_worker, settle
 from folioforge.llm.components import components
 from folioforge.llm.shingles import digest, shingle_set
 
@@ -74,6 +74,7 @@ def _short(tokens: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[np.ndarray]]]:
     """(rows, digests, sets) of about PACK shingles each; a class comes once in a block."""
+    enter_worker("ngram_join")
     ids: list = []
     seen: dict[bytes, int] = {}
     sets: list[np.ndarray] = []
@@ -353,6 +354,7 @@ def _merge(lists: list[np.ndarray], floor: int) -> tuple[np.ndarray, np.ndarray]
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by task; each task's classes are searched together."""
+    enter_worker("ngram_join")
     key, names, sets = None, [], []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -377,6 +379,7 @@ def class_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, cls) of every row; cls is null where there is no shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_worker("ngram_join")
         for batch in batches:
             n, cls = [], []
             for text in batch.column(1).cast(pa.binary()):

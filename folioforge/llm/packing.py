@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import settle
+from folioforge.llm.common import enter_worker, settle
 from folioforge.llm.tokens import encoder
 
 #: Pieces that one task packs at a time.
@@ -80,6 +80,7 @@ def pieces_of(df: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_i
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter_worker("tokens")
         words, row = encoder(tokenizer), 0
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).cast(pa.binary())

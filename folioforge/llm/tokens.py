@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from folioforge.llm.common import WORKER_STORES
+
 #: Bytes of a text that are split into words at a time.
 CHUNK = 1 << 19
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -40,7 +42,7 @@ class WordEncoder:
     unit of its own. All other words are encoded alone.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -123,6 +125,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+WORKER_STORES["tokens"] = _ENCODERS.clear
 
 
 def encoder(path: str) -> WordEncoder:
