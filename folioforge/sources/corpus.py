@@ -118,3 +118,11 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, s
 
 def passage(verses: DataFrame, selection: DataFrame) -> DataFrame:
     return verses.join(F.broadcast(selection), ["book", "chapter"], "left_semi")
+
+
+def chapter(verses: DataFrame, book: str, number: int) -> DataFrame:
+    return verses.where((F.col("book") == book) & (F.col("chapter") == number))
+
+
+def verse(verses: DataFrame, book: str, number: int, at: int) -> DataFrame:
+    return chapter(verses, book, number).where(F.col("verse") == at)

@@ -175,3 +175,11 @@ def test_targets_by_rank(spark):
     assert [facts[i]["quality"] for i in range(1, 7)] == [True, True, False, False, False, False]
     with pytest.raises(Exception, match="verificabil"):
         facts_of(spark.createDataFrame([("Rut", 1, 1, "a b c")], "book string, chapter int, verse int, text string")).collect()
+
+
+def test_lookups(spark, corpus):
+    from folioforge.sources.corpus import chapter, passage
+    from folioforge.sources.corpus import verse as one
+
+    assert chapter(corpus[0], "1 Samuel", 2).count() == 30 and one(corpus[0], "1 Samuel", 2, 3).first()["text"] == " ".join(verse(32).split())
+    assert passage(corpus[0], spark.createDataFrame([("1 Samuel", 4)], "book string, chapter int")).count() == 30
