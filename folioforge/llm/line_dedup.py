@@ -43,8 +43,8 @@ def common_lines(df: DataFrame, min_docs: int, min_chars: int, id_col: str = "do
     """(h1, h2, keeper): keys in at least ``min_docs`` documents and the largest id that holds each.
 
     A document counts once for a key, so a partial sum before the shuffle leaves a row
-    for each key and task, however many documents share a line. Keys that pass are
-    counted again by distinct id, for tables that repeat ids.
+    for each key and task, however many documents share a line. Each row with an id
+    counts as a document.
     """
     held = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(_hashes(F.col(text_col), min_chars)).alias("_h"))
     held = held.select("_id", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
