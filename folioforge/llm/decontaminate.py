@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import settle
+from folioforge.llm.common import enter_worker, settle
 from folioforge.llm.tokens import chunks
 
-FEATURES, RANK, EXTRA = 1 << 14, 32, 8
+FEATURES, RANK, EXTRA = 1 << 14, 24, 8
 #: Words of a passage, and of the blocks that windows are made of.
 PASSAGE, BLOCK = 64, 16
 COSINE, SUBSEQUENCE = 0.25, 0.6
@@ -48,6 +48,7 @@ def codes_of(data: bytes) -> np.ndarray:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
     """(ids, texts, word codes of all, words of each) of some documents at a time."""
+    enter_worker("decontaminate")
     ids, texts, parts, held = [], [], [], 0
     for batch in batches:
         for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
@@ -74,17 +75,47 @@ def _cuts(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(lens) - lens, n) + size * rank, doc
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, passages = np.zeros(FEATURES + 1, np.int64), 0
+class Codes:
+    """A sorted set of word codes; most other words are told apart by one lookup."""
+
+    BITS = 20
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.unique(codes).astype(np.int64)
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.table[self.codes & (1 << self.BITS) - 1] = True
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``codes`` that hold a member, and which member."""
+        at = np.flatnonzero(self.table[codes & np.uint32((1 << self.BITS) - 1)])
+        spot = np.minimum(np.searchsorted(self.codes, codes[at]), max(len(self.codes) - 1, 0))
+        same = self.codes[spot] == codes[at] if len(self.codes) else np.zeros(len(at), bool)
+        return at[same], spot[same]
+
+
+def _frequencies(watched: Codes):
+    """A task's numbers of passages that hold each feature, of all passages, and of watched words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.concatenate(list(_count(batches, watched)))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["feature", "n"])
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch], watched: Codes) -> Iterator[np.ndarray]:
+    df, passages, words = np.zeros(FEATURES + 1, np.int64), 0, np.zeros(len(watched.codes), np.int64)
     for _, _, codes, lens in _batches(batches):
+        words += np.bincount(watched.find(codes)[1], minlength=len(words))
         starts, _ = _cuts(lens, PASSAGE)
         of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-        pairs = np.unique(of * FEATURES + (codes % FEATURES).astype(np.int64))
-        df[:-1] += np.bincount(pairs % FEATURES, minlength=FEATURES)
+        pairs = np.sort((of * FEATURES + codes % FEATURES).astype(np.uint32 if len(starts) < 1 << 18 else np.uint64))
+        df[:-1] += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] % FEATURES, minlength=FEATURES)
         passages += len(starts)
     df[-1] = passages
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], ["feature", "n"])
+    yield df
+    yield words
 
 
 def _omega() -> np.ndarray:
@@ -103,7 +134,7 @@ def _gram(idf: np.ndarray, group: int = 256):
             starts, _ = _cuts(lens, PASSAGE)
             y = np.add.reduceat(omega[f], starts)
             of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
-            order = np.argsort(f, kind="stable")
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
             first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
             total[f[order][first]] += np.add.reduceat(y[of[order]], first)
         if some:
@@ -123,21 +154,26 @@ def _add(group):
 
 @dataclass
 class Space:
-    """idf of each feature and its projection, idf included."""
+    """idf of each feature, its projection with idf, and how often each watched word stands."""
 
     idf: np.ndarray
     project: np.ndarray
+    words: dict[int, int]
 
 
-def fit_space(docs: DataFrame) -> Space:
-    """TF-IDF and singular directions over the passages of all documents.
+def fit_space(docs: DataFrame, watched: np.ndarray | None = None) -> Space:
+    """TF-IDF and singular directions over the passages of all documents, and the numbers of
+    ``watched`` words (those of the benchmark).
 
-    What reaches the driver is FEATURES numbers, then FEATURES * (RANK + EXTRA); both are
-    fixed. Without documents every direction is zero, and nothing is found.
+    What reaches the driver is FEATURES numbers and one a watched word, then FEATURES *
+    (RANK + EXTRA). Without documents every direction is zero, and nothing is found.
     """
-    counts = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES rows
+    codes = Codes(np.empty(0, np.uint32) if watched is None else watched)
+    counts = np.zeros(FEATURES + 1 + len(codes.codes), np.int64)
+    for r in docs.mapInArrow(_frequencies(codes), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # FEATURES rows
         counts[r["feature"]] = r["n"]
+    words = dict(zip(codes.codes.tolist(), counts[FEATURES + 1 :].tolist(), strict=True))
+    counts = counts[: FEATURES + 1]
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32)
     parts = docs.mapInArrow(_gram(idf), "rows int, part binary").groupBy("rows").applyInPandas(_add, "rows int, part binary").collect()
     z = np.zeros((FEATURES, RANK + EXTRA))
@@ -147,9 +183,9 @@ def fit_space(docs: DataFrame) -> Space:
     values, vectors = np.linalg.eigh((omega.T @ z + z.T @ omega) / 2)
     good = values > max(values.max(), 0) * 1e-10
     if not good.any():
-        return Space(idf, np.zeros((FEATURES, RANK), np.float32))
+        return Space(idf, np.zeros((FEATURES, RANK), np.float32), words)
     u, _, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return Space(idf, (u[:, :RANK] * idf[:, None]).astype(np.float32))
+    return Space(idf, (u[:, :RANK] * idf[:, None]).astype(np.float32), words)
 
 
 @dataclass
@@ -170,16 +206,17 @@ class Items:
         codes, owner, slot = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, owner, slot))
         order = np.argsort(codes, kind="stable")
         self.codes, self.owner, self.slot = codes[order], owner[order], slot[order]
+        self.set = Codes(self.codes)
         self.needed = np.array([min(ANSWER_HITS, len(a)) for a in self.answers], np.int64)
 
     def answer_gate(self, codes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
         """gate[document, item]: enough of the item's rarest words are there."""
-        low, high = np.searchsorted(self.codes, codes, "left"), np.searchsorted(self.codes, codes, "right")
+        hit, _ = self.set.find(codes)
+        low, high = np.searchsorted(self.codes, codes[hit], "left"), np.searchsorted(self.codes, codes[hit], "right")
         n = high - low
-        hit = np.flatnonzero(n)
-        at = np.repeat(low[hit], n[hit]) + np.arange(n[hit].sum()) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seen = np.zeros((docs, len(self.ids), ANSWER_WORDS), bool)
-        seen[np.repeat(doc[hit], n[hit]), self.owner[at], self.slot[at]] = True
+        seen[np.repeat(doc[hit], n), self.owner[at], self.slot[at]] = True
         return seen.sum(axis=2) >= self.needed
 
 
@@ -196,7 +233,8 @@ def make_items(rows: list[tuple[int, str | None]], space: Space) -> list[Items]:
             v = space.project[codes % FEATURES].sum(axis=0)
             vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
             distinct = np.unique(codes)
-            answers.append(distinct[np.argsort(-space.idf[distinct % FEATURES], kind="stable")[:ANSWER_WORDS]].astype(np.int64))
+            often = np.array([space.words.get(c, 0) for c in distinct.tolist()])
+            answers.append(distinct[np.argsort(often, kind="stable")[:ANSWER_WORDS]].astype(np.int64))
         out.append(Items([i for i, _ in group], [w for _, w in group], np.array(vectors, np.float32), answers))
     return out
 
@@ -224,13 +262,19 @@ def _scales(longest: int) -> list[int]:
 
 
 def search_batch(ids: list, texts: list[bytes], codes: np.ndarray, lens: np.ndarray, items: Items, space: Space) -> list[tuple]:
-    """(id, item, cosine, subsequence, item words, first word) of the best window of each pair found."""
-    docs = len(ids)
-    doc_of = np.repeat(np.arange(docs), lens)
-    gate = items.answer_gate(codes, doc_of, docs)
+    """(id, item, cosine, subsequence, item words, first word) of the best window of each pair found.
+
+    A pair needs the answer words and the cosine; the words are looked up first, since that
+    spares the projection of documents that hold no answer.
+    """
+    doc_of = np.repeat(np.arange(len(ids)), lens)
+    gate = items.answer_gate(codes, doc_of, len(ids))
     wanted = gate.any(axis=1)
     if not wanted.any():
         return []
+    codes, lens, gate = codes[wanted[doc_of]], lens[wanted], gate[wanted]
+    kept = np.flatnonzero(wanted)
+    ids, texts = [ids[i] for i in kept], [texts[i] for i in kept]
     starts, doc = _cuts(lens, BLOCK)
     sums = np.add.reduceat(space.project[codes % FEATURES], starts)
     rank = (starts - (np.cumsum(lens) - lens)[doc]) // BLOCK
@@ -241,7 +285,7 @@ def search_batch(ids: list, texts: list[bytes], codes: np.ndarray, lens: np.ndar
         later = np.arange(len(sums)) + c // 2
         same = rank + c // 2 < n_blocks[doc]
         sums = sums + np.where(same[:, None], sums[np.minimum(later, len(sums) - 1)], 0)
-        at = np.flatnonzero((rank % (c // 2) == 0) & wanted[doc])
+        at = np.flatnonzero(rank % (c // 2) == 0)
         norm = np.linalg.norm(sums[at], axis=1)
         cosine = sums[at] @ items.vectors.T
         for w, j in zip(*np.nonzero((cosine >= COSINE * norm[:, None]) & gate[doc[at]]), strict=True):
@@ -270,7 +314,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} benchmark items")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    space = fit_space(texts)
+    own = [codes_of((r["text"] or "").encode()) for r in rows]
+    space = fit_space(texts, np.concatenate(own) if own else None)
     groups = make_items([(r["item_id"], r["text"]) for r in rows], space)
     shared = docs.sparkSession.sparkContext.broadcast((space, groups))
     names = ["doc_id", "item_id", "cosine", "common_words", "item_words", "first_word"]
