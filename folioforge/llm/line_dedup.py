@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import settle
+from folioforge.llm.common import plain_name, settle
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,21 +58,23 @@ def dedup_lines(df: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col
     that holds it. Null or empty text is one empty line. The ids must be distinct: the
     rows of a repeated id count as that many documents, and each of them keeps what its id
     keeps. Rows with a null id don't count as holders and lose all common lines.
-    All other columns stay; an empty table gives an empty table.
+    All other columns stay, but for ones named n_lines or n_dropped, which are replaced; an
+    empty table gives an empty table.
     """
     common = settle(common_lines(df, min_docs, min_chars, id_col, text_col), "common-lines")
     small = common.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own_id, gone, left = (plain_name(df, n) for n in ("_id", "_lost", "_kept"))
     held = df.select(F.col(id_col).alias("_id"), F.explode(_hashes(F.col(text_col), min_chars)).alias("_h"))
     held = held.select("_id", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
     lost = held.join(F.broadcast(common) if small else common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
-    lost = lost.groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_lost"))
-    with_lost = df.join(lost, df[id_col].eqNullSafe(lost["_id"]), "left").drop("_id")
+    lost = lost.groupBy(F.col("_id").alias(own_id)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+    with_lost = df.join(lost, df[id_col].eqNullSafe(lost[own_id]), "left").drop(own_id)
     lines = lines_of(F.col(text_col))
-    kept = F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("_lost"), _hash(line_key(x))))
+    kept = F.filter(lines, lambda x: (F.char_length(x) < min_chars) | ~F.array_contains(F.col(gone), _hash(line_key(x))))
     out = with_lost.withColumn("n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("_kept", F.when(F.col("_lost").isNull(), lines).otherwise(kept))
-    out = out.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    return out.withColumn(text_col, F.array_join("_kept", "\n")).drop("_kept", "_lost")
+    out = out.withColumn(left, F.when(F.col(gone).isNull(), lines).otherwise(kept))
+    out = out.withColumn("n_dropped", F.col("n_lines") - F.size(left))
+    return out.withColumn(text_col, F.array_join(left, "\n")).drop(left, gone)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from folioforge.llm.common import plain_name
+
 #: The generator's multiplier, a fixed value of the published method.
 MULTIPLIER = 2862933555777941757
 MASK = 0xFFFFFFFF
@@ -66,7 +68,7 @@ def shard(df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", slo
     Rows are numbered by ``order`` (the key, if not given). No task sorts a whole
     shard: each shard is cut into ranges of the key, each range is numbered alone, and
     the counts of the ranges before it (at most MOST_CELLS rows) are added. A null key
-    goes where 0 goes and is numbered first. Rows equal in ``order`` get different
+    goes where 0 goes and is numbered first. Columns named like the made ones are replaced. Rows equal in ``order`` get different
     places in any order. An empty table gives an empty result.
     """
     kind = df.schema[key].dataType
@@ -84,19 +86,20 @@ def shard(df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", slo
     cell = F.coalesce(F.floor((at.cast("decimal(38,0)") - F.lit(low or 0).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")), F.lit(0)).cast("int")
     if cells == 1:
         cell = F.lit(0)
-    out = out.withColumn("_cell", cell)
+    cell_col, rank_col, before_col = (plain_name(out, n) for n in ("_cell", "_rank", "_before"))
+    out = out.withColumn(cell_col, cell)
     counts = (
-        df.select(jump_hash(F.col(key), shards, integral).alias(shard_col), cell.alias("_cell"))
-        .groupBy(shard_col, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+        df.select(jump_hash(F.col(key), shards, integral).alias(shard_col), cell.alias(cell_col))
+        .groupBy(shard_col, cell_col).agg(F.count(F.lit(1)).alias("_n"))
     )
-    before = W.partitionBy(shard_col).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(shard_col, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    here = W.partitionBy(shard_col, "_cell").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = out.withColumn("_rank", F.row_number().over(here).cast("long"))
+    before = W.partitionBy(shard_col).orderBy(cell_col).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(shard_col, cell_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(before_col))
+    here = W.partitionBy(shard_col, cell_col).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    numbered = out.withColumn(rank_col, F.row_number().over(here).cast("long"))
     return (
-        numbered.join(F.broadcast(counts), [shard_col, "_cell"])  # at most MOST_CELLS rows
-        .withColumn(slot_col, F.col("_rank") - 1 + F.col("_before"))
-        .drop("_cell", "_rank", "_before")
+        numbered.join(F.broadcast(counts), [shard_col, cell_col])  # at most MOST_CELLS rows
+        .withColumn(slot_col, F.col(rank_col) - 1 + F.col(before_col))
+        .drop(cell_col, rank_col, before_col)
     )
 
 

@@ -39,6 +39,8 @@ def test_slots_are_gapless(spark, monkeypatch):
         own = sorted((r["slot"], r["doc_id"] or 0) for r in out if r["shard"] == s)
         assert [x for x, _ in own] == list(range(len(own)))
     assert sharding.shard(df.limit(0), "doc_id", 4, slot_col="n").count() == 0
+    clash = sharding.shard(df.select("doc_id", *[F.lit(1).alias(c) for c in ("_cell", "_rank", "_before", "_n", "shard")]), "doc_id", 4, slot_col="slot").collect()
+    assert len({(r["shard"], r["slot"]) for r in clash}) == len(rows) and {r["_cell"] + r["_rank"] + r["_before"] for r in clash} == {3}
     assert {r["shard"] for r in sharding.shard(spark.createDataFrame([("x",), (None,)], "doc_id string"), "doc_id", 3).collect()} <= {0, 1, 2}
 
 
@@ -77,6 +79,9 @@ def test_line_dedup(spark, monkeypatch, broadcast):
     got = sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()), key=str)
     assert got == plain_dedup(rows)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    clash = df.select("doc_id", "text", *[F.lit(7).alias(c) for c in ("_id", "_lost", "_kept", "h1", "n_lines", "_h")])
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(clash).collect()), key=str) == got
+    assert {r["_id"] + r["_lost"] + r["_kept"] for r in line_dedup.dedup_lines(clash).collect()} == {21}
 
 
 # ---------------------------------------------------------------- personal data

@@ -27,6 +27,15 @@ def test_stages(spark, tmp_path):
     shutil.rmtree(tmp_path)
 
 
+def test_clashing_columns_come_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.selectExpr("doc_id", "lang", "text", "1 as accepted", "2 as bits", "3 as _lost", "4 as n_lines", "5 as cls", "6 as _copy", "7 as _leaked")
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, extra, SF)
+        assert out.columns == extra.columns
+        assert {tuple(r)[3:] for r in out.limit(20).collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+
+
 def test_empty_tables_pass(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:

@@ -234,7 +234,6 @@ def test_quality_keeps_prose_and_drops_noise(spark):
     bad = [(100 + i, prose("xx", 60).upper().replace(" ", "!! "), "xx") for i in range(5)]
     df = spark.createDataFrame(good + bad + [(200, None, "xx"), (201, "", None)], "doc_id long, text string, lang string").withColumn("bits", F.lit("x"))
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(0, 0, 0), (100, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    df = df.withColumnRenamed("bits", "other")
     trusted = quality.trusted_rows(df, labels)
     assert trusted.count() == 59
     got = {r["doc_id"]: r for r in quality.classify(df, trusted).collect()}
