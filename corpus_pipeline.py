@@ -18,21 +18,30 @@ from folioforge.llm.packing import default_tokenizer, pack, pieces_of
 from folioforge.llm.quality import classify, trusted_rows
 
 SEQUENCE_TOKENS = 4096
+KNOWN = ("doc_id", "text", "lang")
 #: Ids to drop are broadcast up to this many; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
+def _clear(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns under names that no operator uses."""
+    return docs.toDF(*[c if c in KNOWN else f"__column_{i}" for i, c in enumerate(docs.columns)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model of trusted text accepts; nulls and empty texts stay."""
-    return classify(docs, trusted_rows(docs, table(spark, sf_dir, "labels"))).where("accepted").select(*docs.columns)
+    own = _clear(docs)
+    kept = classify(own, trusted_rows(own.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))).where("accepted")
+    return kept.select(*own.columns).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that five or more share; n_chars follows the text."""
-    out = dedup_lines(docs)
+    own = _clear(docs)
+    out = dedup_lines(own).select(*own.columns).toDF(*docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
