@@ -219,8 +219,10 @@ def test_kneser_ney_sums_to_one_and_matches_counts(spark):
             counts[c[i - 3 : i + 1]] = counts.get(c[i - 3 : i + 1], 0) + 1
     grams, own, _, _ = model.levels["xx"][4]
     n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [0, 1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
+    d = [0, 0.5, 1.0, 1.5]
+    if all(n):
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [0, *(min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3))]
     total = {}
     for g, v in counts.items():
         total[g[:3]] = total.get(g[:3], 0) + v
