@@ -245,6 +245,17 @@ def test_quality_keeps_prose_and_drops_noise(spark):
     assert all(r["accepted"] for r in quality.classify(df, df.limit(0)).collect())
 
 
+def test_pooled_limit_without_trusted_rows_of_small_languages(spark):
+    rng = np.random.default_rng(23)
+    good = [(i, prose("xx" if i % 2 else "yy", 400, rng), "xx" if i % 2 else "yy") for i in range(80)]
+    noise = "".join(map(chr, rng.integers(33, 127, 900)))
+    df = spark.createDataFrame([*good, (100, noise, None), (101, noise, "zz"), (102, noise, "xx"), (103, prose("xx", 200, rng), None), (104, prose("yy", 200, rng), "zz")], "doc_id long, text string, lang string")
+    model = quality.fit(df.where("doc_id < 80"))
+    assert set(model.levels) == set(model.limits) == {"xx", "yy", quality.POOLED}
+    got = {r["doc_id"]: r["accepted"] for r in quality.classify(df, df.where("doc_id < 80")).collect()}
+    assert [got[i] for i in range(100, 105)] == [False, False, False, True, True]
+
+
 # ---------------------------------------------------------------- leaks
 
 
