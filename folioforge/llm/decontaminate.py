@@ -4,13 +4,15 @@ Passages of all documents are TF-IDF vectors over hashed words. One pass sums th
 randomised projection of their Gram matrix, from which the driver takes the leading
 singular directions (Halko, Martinsson and Tropp 2011, section 5.5). Windows of every
 document are projected and compared with the benchmark items by cosine; candidates are
-confirmed by their rarest words (the answer check) and the longest common subsequence of
+confirmed by their rarer words (the answer check) and the longest common subsequence of
 words, so that reworded passages are found as well as copies.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,11 @@ FEATURES, RANK, EXTRA = 1 << 14, 24, 8
 #: Words of a passage, and of the blocks that windows are made of.
 PASSAGE, BLOCK = 64, 16
 COSINE, SUBSEQUENCE = 0.25, 0.6
-#: Of an item's rarest words, how many are looked at and how many must be near.
-ANSWER_WORDS, ANSWER_HITS = 4, 2
+#: Of an item's rarer words, how many must be there (see answer_words).
+ANSWER_HITS = 2
+#: By information, what share of an item's words that the corpus holds must be near; as long
+#: a subsequence as SURE passes without.
+ANSWER_SHARE, SURE = 0.5, 0.8
 #: Items are searched for in groups of this many; words of a batch of documents.
 ITEMS_AT_ONCE, WORDS_AT_ONCE = 2_000, 1 << 17
 MOST_ITEMS = 200_000
@@ -190,52 +195,85 @@ def fit_space(docs: DataFrame, watched: np.ndarray | None = None) -> Space:
 
 @dataclass
 class Items:
-    """Benchmark items: words, unit vectors, and the codes of the rarest words."""
+    """Benchmark items: words, unit vectors, answer words with their places, and how many places are needed."""
 
     ids: list
     words: list[list[bytes]]
     vectors: np.ndarray
-    answers: list[np.ndarray]
+    answers: list[tuple[np.ndarray, np.ndarray, int]]
+    weights: list[dict[bytes, float]]
 
     def __post_init__(self):
-        codes, owner, slot = [], [], []
-        for j, a in enumerate(self.answers):
-            codes.append(a)
-            owner.append(np.full(len(a), j))
-            slot.append(np.arange(len(a)))
-        codes, owner, slot = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (codes, owner, slot))
+        codes = np.concatenate([c for c, _, _ in self.answers]) if self.answers else np.empty(0, np.int64)
+        places = np.concatenate([n for _, n, _ in self.answers]) if self.answers else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(self.answers)), [len(c) for c, _, _ in self.answers])
         order = np.argsort(codes, kind="stable")
-        self.codes, self.owner, self.slot = codes[order], owner[order], slot[order]
+        self.codes, self.owner, self.places = codes[order], owner[order], places[order]
         self.set = Codes(self.codes)
-        self.needed = np.array([min(ANSWER_HITS, len(a)) for a in self.answers], np.int64)
-
-    def answer_gate(self, codes: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-        """gate[document, item]: enough of the item's rarest words are there."""
-        hit, _ = self.set.find(codes)
-        low, high = np.searchsorted(self.codes, codes[hit], "left"), np.searchsorted(self.codes, codes[hit], "right")
+        self.needed = np.array([n for _, _, n in self.answers], np.int64)
+        self.counts = [Counter(w) for w in self.words]
+
+    def answer_places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``codes`` that hold answer words, and which."""
+        return self.set.find(codes)
+
+    def answer_pairs(self, which: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(holder, item) of holders (documents or windows) with enough of the item's answer words."""
+        held = np.unique(holder * len(self.set.codes) + which)
+        of, code = held // len(self.set.codes), self.set.codes[held % len(self.set.codes)]
+        low, high = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
         n = high - low
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        seen = np.zeros((docs, len(self.ids), ANSWER_WORDS), bool)
-        seen[np.repeat(doc[hit], n), self.owner[at], self.slot[at]] = True
-        return seen.sum(axis=2) >= self.needed
+        pair = np.repeat(of, n) * len(self.ids) + self.owner[at]
+        order = np.argsort(pair, kind="stable")
+        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+        total = np.add.reduceat(self.places[at][order], first) if len(first) else np.empty(0, np.int64)
+        pair = pair[order][first]
+        pair = pair[total >= self.needed[pair % len(self.ids)]]
+        return pair // len(self.ids), pair % len(self.ids)
+
+    def covered(self, j: int, near: set[bytes]) -> int:
+        """How many of the item's words are in ``near``; no common subsequence is longer."""
+        return sum(n for w, n in self.counts[j].items() if w in near)
+
+    def answered(self, j: int, near: set[bytes]) -> bool:
+        """Not only common words are there. Words that no document holds weigh nothing, so
+        that rewording can't turn the check."""
+        own = self.weights[j]
+        return sum(x for w, x in own.items() if w in near) >= ANSWER_SHARE * sum(own.values())
+
+
+def answer_words(codes: np.ndarray, words: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rarest words of an item, their places in it, and how many of these must be there.
+
+    So many words are taken that whatever share 1 - SUBSEQUENCE of the item is reworded,
+    ANSWER_HITS of their places are left: the check loses no window that keeps SUBSEQUENCE
+    of the words.
+    """
+    distinct, n = np.unique(codes, return_counts=True)
+    order = np.argsort(np.array([words.get(c, 0) for c in distinct.tolist()]), kind="stable")
+    places = np.cumsum(n[order])
+    lost = len(codes) - math.ceil(SUBSEQUENCE * len(codes) - 1e-9)
+    k = min(int(np.searchsorted(places, lost + ANSWER_HITS)), len(places) - 1) + 1
+    return distinct[order[:k]].astype(np.int64), n[order[:k]], min(ANSWER_HITS, int(places[k - 1]) - lost)
 
 
 def make_items(rows: list[tuple[int, str | None]], space: Space) -> list[Items]:
     """Groups of items; items without words are left out."""
     kept = [(i, [w for part in words_of((t or "").encode()) for w in part]) for i, t in rows]
     kept = [(i, w) for i, w in kept if w]
-    out = []
+    out, total = [], sum(space.words.values())
     for at in range(0, len(kept), ITEMS_AT_ONCE):
         group = kept[at : at + ITEMS_AT_ONCE]
-        vectors, answers = [], []
+        vectors, answers, weights = [], [], []
         for _, w in group:
             codes = np.fromiter(map(zlib.crc32, w), np.uint32, len(w))
             v = space.project[codes % FEATURES].sum(axis=0)
             vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
-            distinct = np.unique(codes)
-            often = np.array([space.words.get(c, 0) for c in distinct.tolist()])
-            answers.append(distinct[np.argsort(often, kind="stable")[:ANSWER_WORDS]].astype(np.int64))
-        out.append(Items([i for i, _ in group], [w for _, w in group], np.array(vectors, np.float32), answers))
+            answers.append(answer_words(codes, space.words))
+            often = {x: space.words.get(c, 0) for x, c in zip(w, codes.tolist(), strict=True)}
+            weights.append({x: w.count(x) * math.log1p(total / n) if n else 0.0 for x, n in often.items()})
+        out.append(Items([i for i, _ in group], [w for _, w in group], np.array(vectors, np.float32), answers, weights))
     return out
 
 
@@ -264,40 +302,60 @@ def _scales(longest: int) -> list[int]:
 def search_batch(ids: list, texts: list[bytes], codes: np.ndarray, lens: np.ndarray, items: Items, space: Space) -> list[tuple]:
     """(id, item, cosine, subsequence, item words, first word) of the best window of each pair found.
 
-    A pair needs the answer words and the cosine; the words are looked up first, since that
-    spares the projection of documents that hold no answer.
+    A pair needs the answer words and the cosine; the words are looked up first, by document
+    and then by window, since that spares most projections and comparisons.
     """
     doc_of = np.repeat(np.arange(len(ids)), lens)
-    gate = items.answer_gate(codes, doc_of, len(ids))
-    wanted = gate.any(axis=1)
-    if not wanted.any():
+    place, which = items.answer_places(codes)
+    kept = np.unique(items.answer_pairs(which, doc_of[place])[0])
+    if not len(kept):
         return []
-    codes, lens, gate = codes[wanted[doc_of]], lens[wanted], gate[wanted]
-    kept = np.flatnonzero(wanted)
+    wanted = np.zeros(len(ids), bool)
+    wanted[kept] = True
+    codes, lens = codes[wanted[doc_of]], lens[wanted]
     ids, texts = [ids[i] for i in kept], [texts[i] for i in kept]
+    doc_of = np.repeat(np.arange(len(ids)), lens)
+    place, which = items.answer_places(codes)
+    offset = place - (np.cumsum(lens) - lens)[doc_of[place]]
     starts, doc = _cuts(lens, BLOCK)
     sums = np.add.reduceat(space.project[codes % FEATURES], starts)
     rank = (starts - (np.cumsum(lens) - lens)[doc]) // BLOCK
     n_blocks = -(-lens // BLOCK)
     best: dict[tuple[int, int], tuple] = {}
     split: dict[int, list[bytes]] = {}
+    near_words: dict[tuple[int, int, int], set[bytes]] = {}
     for c in _scales(max(map(len, items.words))):
         later = np.arange(len(sums)) + c // 2
         same = rank + c // 2 < n_blocks[doc]
         sums = sums + np.where(same[:, None], sums[np.minimum(later, len(sums) - 1)], 0)
         at = np.flatnonzero(rank % (c // 2) == 0)
+        near_words.clear()
         norm = np.linalg.norm(sums[at], axis=1)
-        cosine = sums[at] @ items.vectors.T
-        for w, j in zip(*np.nonzero((cosine >= COSINE * norm[:, None]) & gate[doc[at]]), strict=True):
+        # a window's words are looked for in four halves of windows, from the one before it on
+        half = c * BLOCK // 2
+        cells = -(-lens // half)
+        cell, own_doc = offset // half, doc_of[place]
+        window = cell[:, None] + np.arange(-2, 2)
+        inside = (window >= 0) & (window < cells[own_doc][:, None])
+        window += (np.cumsum(cells) - cells)[own_doc][:, None]
+        near, j = items.answer_pairs(np.repeat(which, 4)[inside.ravel()], window[inside])
+        cosine = np.einsum("ij,ij->i", sums[at[near]], items.vectors[j])
+        good = np.flatnonzero(cosine >= COSINE * norm[near])
+        for w, j, value in zip(near[good].tolist(), j[good].tolist(), cosine[good].tolist(), strict=True):
             d, first = int(doc[at[w]]), int(rank[at[w]]) * BLOCK
             if d not in split:
                 split[d] = [x for part in words_of(texts[d]) for x in part]
-            own, half = items.words[j], c * BLOCK // 2
-            near = split[d][max(0, first - half) : first + 3 * half]
-            length = common_subsequence(own, near)
+            own = items.words[j]
+            span = d, max(0, first - half), first + 3 * half
+            if span not in near_words:
+                near_words[span] = set(split[d][span[1] : span[2]])
+            if items.covered(j, near_words[span]) < SUBSEQUENCE * len(own):
+                continue
+            length = common_subsequence(own, split[d][span[1] : span[2]])
             old = best.get((d, j))
-            if length >= SUBSEQUENCE * len(own) and (old is None or length > old[3]):
-                value = float(cosine[w, j] / max(float(norm[w]), 1e-12))
+            sure = length >= SURE * len(own) or items.answered(j, near_words[span])
+            if sure and length >= SUBSEQUENCE * len(own) and (old is None or length > old[3]):
+                value = value / max(float(norm[w]), 1e-12)
                 best[d, j] = (ids[d], items.ids[j], round(value, 4), length, len(own), first)
     return list(best.values())
 
@@ -305,8 +363,9 @@ def search_batch(ids: list, texts: list[bytes], codes: np.ndarray, lens: np.ndar
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, common_words, item_words, first_word) of each leaked item.
 
-    An item leaks into a document if a window of it has cosine COSINE, holds ANSWER_HITS
-    of its ANSWER_WORDS rarest words, and keeps SUBSEQUENCE of its words in order.
+    An item leaks into a document if a window of it has cosine COSINE, keeps SUBSEQUENCE of
+    its words in order, and holds ANSWER_SHARE of it by information, where the words in order
+    are under SURE of it. Its rarer words are looked up first, which loses no such window.
     Documents and items without words leak nothing; a repeated row is found as often as it
     stands there. The benchmark goes to every task: over MOST_ITEMS items raise ValueError.
     """

@@ -299,6 +299,24 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.35])
+def test_leaks_that_are_only_reworded(spark, share):
+    rng = np.random.default_rng(29)
+    rare = lambda: "".join(rng.choice(SYLLABLES["xx"], 6))
+    items = [(i, " ".join(rare() if rng.random() < 0.5 else w for w in prose("xx", int(rng.integers(15, 60)), rng)[:-1].split())) for i in range(40)]
+    docs = []
+    for i, t in items:
+        own = t.split()
+        for k in rng.choice(len(own), int(share * len(own)), replace=False):
+            own[k] = "".join(rng.choice(SYLLABLES["yy"], 5))
+        words = prose("xx", 120, rng).split()
+        docs.append((i, " ".join([*words[:60], *own, *words[60:]])))
+    docs += [(100 + i, prose("xx", 200, rng)) for i in range(100)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    brute = {(i, j) for i, t in docs for j, own in items if i == j and plain_lcs(own.encode().split(), t.encode().split()) >= decontaminate.SUBSEQUENCE * len(own.split())}
+    assert len(brute) == 40 and len(brute & got) >= 39 and len(got - brute) <= 1
+
+
 def test_singular_directions(spark):
     docs = spark.createDataFrame([(i, prose("xx" if i % 2 else "yy", 200)) for i in range(60)], "doc_id long, text string")
     space = decontaminate.fit_space(docs)
