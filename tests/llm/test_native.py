@@ -140,6 +140,12 @@ def test_pii_query(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{list(RULES)[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
 
 
+def test_each_generator_form_is_proposed_alone(spark):
+    forms = {"a@b.co": 0, "a(at)b(dot)co": 0, "a [at] b.co": 0, "1.2.3.4": 1, "10[.]0[.]0[.]1": 1, "1[.]2[.]3[.]4": 1, "1(.)2(.)3(.)4": 1, "1 . 2 . 3 . 4": 1, "4539-1488-0343-6467": 2, "555-123-4567": 3, "(555) 123-4567": 3}
+    df = spark.createDataFrame(list(forms.items()), "text string, kind int").select("text", "kind", pii.candidates(F.col("text"))["kind"].alias("found"))
+    assert [r["text"] for r in df.collect() if r["kind"] not in r["found"]] == []
+
+
 # ---------------------------------------------------------------- licences
 
 
