@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages of all documents are TF-IDF vectors over hashed words. One pass sums the
-randomised projection of their Gram matrix, from which the driver takes the leading
-singular directions (Halko, Martinsson and Tropp 2011, section 5.5). Windows of every
-document are projected and compared with the benchmark items by cosine; candidates are
-confirmed by their rarer words (the answer check) and the longest common subsequence of
-words, so that reworded passages are found as well as copies.
+Passages of all documents are TF-IDF vectors of unit length over hashed words. One pass
+sums the randomised projection of their Gram matrix, from which the driver takes the
+leading singular directions (Halko, Martinsson and Tropp 2011, section 5.5). Every window
+of every document is folded into that space and compared with each benchmark item by
+cosine: what passes is a candidate. Candidates are confirmed by the item's rarer words
+(the answer check) and by the longest common subsequence of words, so that reworded
+passages are found as well as copies.
 """
 
 from __future__ import annotations
@@ -24,18 +25,22 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import enter_worker, settle
 from folioforge.llm.tokens import chunks
 
-FEATURES, RANK, EXTRA = 1 << 14, 24, 8
+FEATURES, RANK, EXTRA = 1 << 14, 48, 8
 #: Words of a passage, and of the blocks that windows are made of.
 PASSAGE, BLOCK = 64, 16
-COSINE, SUBSEQUENCE = 0.25, 0.6
+#: A candidate's least cosine, and the share of an item's words that it must keep in order.
+COSINE, SUBSEQUENCE = 0.3, 0.6
 #: Of an item's rarer words, how many must be there (see answer_words).
 ANSWER_HITS = 2
 #: By information, what share of an item's words that the corpus holds must be near; as long
 #: a subsequence as SURE passes without.
 ANSWER_SHARE, SURE = 0.5, 0.8
-#: Items are searched for in groups of this many; words of a batch of documents.
-ITEMS_AT_ONCE, WORDS_AT_ONCE = 2_000, 1 << 17
-MOST_ITEMS = 200_000
+#: Words of a batch and of a segment of a long document; windows and items compared at once.
+WORDS_AT_ONCE, SEGMENT, WINDOWS_AT_ONCE, ITEMS_AT_ONCE = 1 << 17, 1 << 16, 2_048, 2_000
+#: Rows of a gather that stay in a core's cache.
+GATHER = 1 << 13
+#: Benchmark text that goes to every task at once; a larger benchmark goes slice by slice.
+SLICE_BYTES = 1 << 26
 SEED = 20
 _PLAIN = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -51,33 +56,69 @@ def codes_of(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, np.uint32)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], np.ndarray, np.ndarray]]:
-    """(ids, texts, word codes of all, words of each) of some documents at a time."""
+@dataclass
+class Batch:
+    """Segments of documents: their word codes one after another, the length, row and first word of each."""
+
+    ids: list
+    codes: np.ndarray
+    lens: np.ndarray
+    rows: np.ndarray
+    firsts: np.ndarray
+
+
+def _batches(batches: Iterator[pa.RecordBatch], overlap: int = 0) -> Iterator[Batch]:
+    """About WORDS_AT_ONCE words at a time. Documents over SEGMENT words come in segments
+    that share ``overlap`` words; ``rows`` numbers a task's documents, ids has those at hand."""
     enter_worker("decontaminate")
-    ids, texts, parts, held = [], [], [], 0
+    row, held = 0, 0
+    ids, parts, rows, firsts = [], [], [], []
+
+    def made() -> Batch:
+        return Batch(ids, np.concatenate(parts), np.array(list(map(len, parts))), np.array(rows), np.array(firsts))
+
     for batch in batches:
         for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
-            data = text.as_py() or b""
-            codes = codes_of(data)
-            if not len(codes):
-                continue
-            ids.append(i.as_py())
-            texts.append(data)
-            parts.append(codes)
-            held += len(codes)
-            if held >= WORDS_AT_ONCE:
-                yield ids, texts, np.concatenate(parts), np.array([len(p) for p in parts])
-                ids, texts, parts, held = [], [], [], 0
+            codes = codes_of(text.as_py() or b"")
+            row += 1
+            for at in range(0, max(1, len(codes) - overlap) if len(codes) else 0, SEGMENT - overlap):
+                ids.append(i.as_py())
+                parts.append(codes[at : at + SEGMENT])
+                rows.append(row)
+                firsts.append(at)
+                held += len(parts[-1])
+                if held >= WORDS_AT_ONCE:
+                    yield made()
+                    ids, parts, rows, firsts, held = [], [], [], [], 0
     if parts:
-        yield ids, texts, np.concatenate(parts), np.array([len(p) for p in parts])
+        yield made()
 
 
 def _cuts(lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of pieces of ``size`` words that don't cross documents, and their documents."""
+    """Starts of pieces of ``size`` words that don't cross segments, and their segments."""
     n = -(-lens // size)
-    doc = np.repeat(np.arange(len(lens)), n)
+    owner = np.repeat(np.arange(len(lens)), n)
     rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(np.cumsum(lens) - lens, n) + size * rank, doc
+    return np.repeat(np.cumsum(lens) - lens, n) + size * rank, owner
+
+
+def _features(codes: np.ndarray, lens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(piece, feature) of each distinct feature of each piece, in order, and the number of pieces."""
+    starts, _ = _cuts(lens, size)
+    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
+    pairs = np.sort((of * FEATURES + codes % FEATURES).astype(np.uint32 if len(starts) < 1 << 18 else np.uint64))
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+    return (pairs // FEATURES).astype(np.int64), (pairs % FEATURES).astype(np.int64), len(starts)
+
+
+def _sum_rows(out: np.ndarray, to: np.ndarray, table: np.ndarray, rows: np.ndarray) -> None:
+    """Add table[rows] to out[to]; ``to`` ascends. Done in parts that fit the cache."""
+    held = np.empty((GATHER, table.shape[1]), table.dtype)
+    for at in range(0, len(rows), GATHER):
+        own, here = to[at : at + GATHER], rows[at : at + GATHER]
+        part = np.take(table, here, axis=0, out=held[: len(here)], mode="clip")
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] += np.add.reduceat(part, first)
 
 
 class Codes:
@@ -98,50 +139,44 @@ class Codes:
         return at[same], spot[same]
 
 
+# ---------------------------------------------------------------- the space
+
+
 def _frequencies(watched: Codes):
     """A task's numbers of passages that hold each feature, of all passages, and of watched words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.concatenate(list(_count(batches, watched)))
+        df, words = np.zeros(FEATURES + 1, np.int64), np.zeros(len(watched.codes), np.int64)
+        for b in _batches(batches):
+            words += np.bincount(watched.find(b.codes)[1], minlength=len(words))
+            _, f, passages = _features(b.codes, b.lens, PASSAGE)
+            df[:-1] += np.bincount(f, minlength=FEATURES)
+            df[-1] += passages
+        total = np.concatenate([df, words])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["feature", "n"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch], watched: Codes) -> Iterator[np.ndarray]:
-    df, passages, words = np.zeros(FEATURES + 1, np.int64), 0, np.zeros(len(watched.codes), np.int64)
-    for _, _, codes, lens in _batches(batches):
-        words += np.bincount(watched.find(codes)[1], minlength=len(words))
-        starts, _ = _cuts(lens, PASSAGE)
-        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(codes)]))
-        pairs = np.sort((of * FEATURES + codes % FEATURES).astype(np.uint32 if len(starts) < 1 << 18 else np.uint64))
-        df[:-1] += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]]] % FEATURES, minlength=FEATURES)
-        passages += len(starts)
-    df[-1] = passages
-    yield df
-    yield words
-
-
 def _omega() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((FEATURES, RANK + EXTRA)).astype(np.float32)
 
 
 def _gram(idf: np.ndarray, group: int = 256):
-    """A task's share of A'A Omega, in rows of ``group`` features."""
+    """A task's share of A'A Omega, in rows of ``group`` features; A's rows are passages of unit length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega = _omega() * idf[:, None]
         total, some = np.zeros((FEATURES, RANK + EXTRA), np.float32), False
-        for _, _, codes, lens in _batches(batches):
+        for b in _batches(batches):
             some = True
-            f = (codes % FEATURES).astype(np.int64)
-            starts, _ = _cuts(lens, PASSAGE)
-            y = np.add.reduceat(omega[f], starts)
-            of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(f)]))
-            order = np.argsort(f.astype(np.uint16), kind="stable")  # by radix
-            first = np.flatnonzero(np.r_[True, np.diff(f[order]) > 0])
-            total[f[order][first]] += np.add.reduceat(y[of[order]], first)
+            of, f, passages = _features(b.codes, b.lens, PASSAGE)
+            y = np.zeros((passages, RANK + EXTRA), np.float32)
+            _sum_rows(y, of, omega, f)
+            y /= np.maximum(np.bincount(of, idf[f] ** 2, passages), 1e-9).astype(np.float32)[:, None]
+            turned = np.sort((f * passages + of).astype(np.uint32 if passages < 1 << 18 else np.uint64))
+            _sum_rows(total, (turned // passages).astype(np.int64), y, (turned % passages).astype(np.int64))
         if some:
             total *= idf[:, None]
             rows = total.reshape(FEATURES // group, -1)
@@ -159,12 +194,23 @@ def _add(group):
 
 @dataclass
 class Space:
-    """idf of each feature, its projection with idf, and how often each watched word stands."""
+    """idf of each feature, its projection with idf, and how often each watched word stands.
+
+    Directions are divided by their singular values, as folding-in does, so that the few
+    that tell languages apart don't drown those that tell passages apart.
+    """
 
     idf: np.ndarray
     project: np.ndarray
     words: dict[int, int]
 
+    def fold(self, codes: np.ndarray, lens: np.ndarray, size: int) -> np.ndarray:
+        """A vector for each piece of ``size`` words."""
+        of, f, n = _features(codes, lens, size)
+        out = np.zeros((n, self.project.shape[1]), np.float32)
+        _sum_rows(out, of, self.project, f)
+        return out
+
 
 def fit_space(docs: DataFrame, watched: np.ndarray | None = None) -> Space:
     """TF-IDF and singular directions over the passages of all documents, and the numbers of
@@ -189,58 +235,12 @@ def fit_space(docs: DataFrame, watched: np.ndarray | None = None) -> Space:
     good = values > max(values.max(), 0) * 1e-10
     if not good.any():
         return Space(idf, np.zeros((FEATURES, RANK), np.float32), words)
-    u, _, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    return Space(idf, (u[:, :RANK] * idf[:, None]).astype(np.float32), words)
-
+    u, s, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+    kept = s[:RANK] > 1e-6 * s[0]
+    return Space(idf, (u[:, :RANK][:, kept] / s[:RANK][kept] * idf[:, None]).astype(np.float32), words)
 
-@dataclass
-class Items:
-    """Benchmark items: words, unit vectors, answer words with their places, and how many places are needed."""
-
-    ids: list
-    words: list[list[bytes]]
-    vectors: np.ndarray
-    answers: list[tuple[np.ndarray, np.ndarray, int]]
-    weights: list[dict[bytes, float]]
-
-    def __post_init__(self):
-        codes = np.concatenate([c for c, _, _ in self.answers]) if self.answers else np.empty(0, np.int64)
-        places = np.concatenate([n for _, n, _ in self.answers]) if self.answers else np.empty(0, np.int64)
-        owner = np.repeat(np.arange(len(self.answers)), [len(c) for c, _, _ in self.answers])
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.owner, self.places = codes[order], owner[order], places[order]
-        self.set = Codes(self.codes)
-        self.needed = np.array([n for _, _, n in self.answers], np.int64)
-        self.counts = [Counter(w) for w in self.words]
-
-    def answer_places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``codes`` that hold answer words, and which."""
-        return self.set.find(codes)
-
-    def answer_pairs(self, which: np.ndarray, holder: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(holder, item) of holders (documents or windows) with enough of the item's answer words."""
-        held = np.unique(holder * len(self.set.codes) + which)
-        of, code = held // len(self.set.codes), self.set.codes[held % len(self.set.codes)]
-        low, high = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
-        n = high - low
-        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair = np.repeat(of, n) * len(self.ids) + self.owner[at]
-        order = np.argsort(pair, kind="stable")
-        first = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        total = np.add.reduceat(self.places[at][order], first) if len(first) else np.empty(0, np.int64)
-        pair = pair[order][first]
-        pair = pair[total >= self.needed[pair % len(self.ids)]]
-        return pair // len(self.ids), pair % len(self.ids)
-
-    def covered(self, j: int, near: set[bytes]) -> int:
-        """How many of the item's words are in ``near``; no common subsequence is longer."""
-        return sum(n for w, n in self.counts[j].items() if w in near)
 
-    def answered(self, j: int, near: set[bytes]) -> bool:
-        """Not only common words are there. Words that no document holds weigh nothing, so
-        that rewording can't turn the check."""
-        own = self.weights[j]
-        return sum(x for w, x in own.items() if w in near) >= ANSWER_SHARE * sum(own.values())
+# ---------------------------------------------------------------- items and candidates
 
 
 def answer_words(codes: np.ndarray, words: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -258,28 +258,63 @@ def answer_words(codes: np.ndarray, words: dict[int, int]) -> tuple[np.ndarray,
     return distinct[order[:k]].astype(np.int64), n[order[:k]], min(ANSWER_HITS, int(places[k - 1]) - lost)
 
 
-def make_items(rows: list[tuple[int, str | None]], space: Space) -> list[Items]:
-    """Groups of items; items without words are left out."""
-    kept = [(i, [w for part in words_of((t or "").encode()) for w in part]) for i, t in rows]
-    kept = [(i, w) for i, w in kept if w]
-    out, total = [], sum(space.words.values())
-    for at in range(0, len(kept), ITEMS_AT_ONCE):
-        group = kept[at : at + ITEMS_AT_ONCE]
-        vectors, answers, weights = [], [], []
-        for _, w in group:
-            codes = np.fromiter(map(zlib.crc32, w), np.uint32, len(w))
-            v = space.project[codes % FEATURES].sum(axis=0)
-            vectors.append(v / max(float(np.linalg.norm(v)), 1e-12))
-            answers.append(answer_words(codes, space.words))
-            often = {x: space.words.get(c, 0) for x, c in zip(w, codes.tolist(), strict=True)}
-            weights.append({x: w.count(x) * math.log1p(total / n) if n else 0.0 for x, n in often.items()})
-        out.append(Items([i for i, _ in group], [w for _, w in group], np.array(vectors, np.float32), answers, weights))
-    return out
+class Items:
+    """Benchmark items of one window length: word codes, unit vectors, answer words, weights."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], space: Space, blocks: int):
+        self.ids, self.words, self.blocks = ids, [w.tolist() for w in words], blocks
+        vectors = np.concatenate([space.fold(w, np.array([len(w)]), len(w)) for w in words])
+        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        answers = [answer_words(w, space.words) for w in words]
+        self.needed = np.array([n for _, _, n in answers], np.int64)
+        codes, places = (np.concatenate([a[i] for a in answers]) for i in (0, 1))
+        owner = np.repeat(np.arange(len(words)), [len(c) for c, _, _ in answers])
+        self.set = Codes(codes)
+        by = np.argsort(codes, kind="stable")
+        self.owner, self.places = owner[by], np.minimum(places[by], ANSWER_HITS).astype(np.uint8)
+        self.begins = np.searchsorted(codes[by], np.r_[self.set.codes, np.iinfo(np.int64).max])
+        total = sum(space.words.values())
+        often = [{c: space.words.get(c, 0) for c in set(w)} for w in self.words]
+        # words that no document holds weigh nothing, so that rewording can't turn the check
+        self.weights = [{c: w.count(c) * math.log1p(total / n) for c, n in x.items() if n} for w, x in zip(self.words, often, strict=True)]
+        self.counts = [Counter(w) for w in self.words]
+
+    def answers_at(self, window: np.ndarray, which: np.ndarray, windows: int) -> np.ndarray:
+        """(windows, items): places of answer words in each window, from the words it holds."""
+        held = np.unique(window * len(self.set.codes) + which)
+        window, which = held // len(self.set.codes), held % len(self.set.codes)
+        n = self.begins[which + 1] - self.begins[which]
+        at = np.repeat(self.begins[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(window, n) * len(self.ids) + self.owner[at]
+        return np.bincount(cell, self.places[at], windows * len(self.ids)).reshape(windows, -1)
+
+    def covered(self, j: int, near: set[int]) -> int:
+        """How many of the item's words are in ``near``; no common subsequence is longer."""
+        return sum(n for w, n in self.counts[j].items() if w in near)
+
+    def answered(self, j: int, near: set[int]) -> bool:
+        """Not only common words are there."""
+        own = self.weights[j]
+        return sum(x for w, x in own.items() if w in near) >= ANSWER_SHARE * sum(own.values())
 
 
-def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
+def make_items(rows: list[tuple[int, str | None]], space: Space) -> list[Items]:
+    """Items by the window that holds them, in groups; items without words are left out."""
+    by: dict[int, list] = {}
+    for i, t in rows:
+        codes = codes_of((t or "").encode())
+        if len(codes):
+            by.setdefault(max(2, 1 << math.ceil(math.log2(len(codes) / BLOCK))), []).append((i, codes))
+    return [
+        Items([i for i, _ in own[at : at + ITEMS_AT_ONCE]], [c for _, c in own[at : at + ITEMS_AT_ONCE]], space, blocks)
+        for blocks, own in sorted(by.items())
+        for at in range(0, len(own), ITEMS_AT_ONCE)
+    ]
+
+
+def common_subsequence(item: list, words: list) -> int:
     """Length of the longest common subsequence, a bit for each word of the item."""
-    where: dict[bytes, int] = {}
+    where: dict = {}
     for i, w in enumerate(item):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(item)) - 1
@@ -291,104 +326,122 @@ def common_subsequence(item: list[bytes], words: list[bytes]) -> int:
     return len(item) - v.bit_count()
 
 
-def _scales(longest: int) -> list[int]:
-    """Blocks of a window: from two up to what holds the longest item."""
-    out = [2]
-    while out[-1] * BLOCK < longest:
-        out.append(2 * out[-1])
-    return out
+def overlap_of(groups: list[Items]) -> int:
+    """Words that segments share, so that every window lies whole in one with what is around it."""
+    return min(2 * BLOCK * max((g.blocks for g in groups), default=0), SEGMENT // 2)
+
+
+def candidates(b: Batch, sums: np.ndarray, items: Items, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(segment, first block, item, cosine, places of answer words) of the windows near an
+    item. ``sums`` has a vector for each block; windows step by a quarter, or a block."""
+    n_blocks = -(-b.lens // BLOCK)
+    before = np.cumsum(n_blocks) - n_blocks
+    step, c = max(1, items.blocks // 4), items.blocks
+    windows = -(-n_blocks // step)
+    owner = np.repeat(np.arange(len(b.lens)), windows)
+    first = step * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
+    total = np.zeros((len(sums) + 1, sums.shape[1]))
+    np.cumsum(sums, axis=0, out=total[1:])
+    # answer words are looked for from half a window before to half a window after it
+    place, which = items.set.find(b.codes)
+    segment = np.repeat(np.arange(len(b.lens)), b.lens)[place]
+    block = (place - (np.cumsum(b.lens) - b.lens)[segment]) // BLOCK
+    reach = np.arange(-(-(3 * c // 2) // step) + 1) - (-(-(3 * c // 2) // step) - (c // 2) // step)
+    to = (block // step)[:, None] + reach
+    good = (to >= 0) & (to < windows[segment][:, None])
+    good &= (block[:, None] >= to * step - c // 2) & (block[:, None] < to * step + c + c // 2)
+    window = (to + (np.cumsum(windows) - windows)[segment][:, None])[good]
+    which = np.repeat(which, to.shape[1]).reshape(to.shape)[good]
+    by = np.argsort(window, kind="stable")
+    window, which = window[by], which[by]
+    for at in range(0, len(owner), WINDOWS_AT_ONCE):
+        own, f = owner[at : at + WINDOWS_AT_ONCE], first[at : at + WINDOWS_AT_ONCE]
+        low = before[own] + f
+        vectors = (total[np.minimum(low + c, before[own] + n_blocks[own])] - total[low]).astype(np.float32)
+        norm = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+        likeness = vectors @ items.vectors.T
+        w, j = np.nonzero(likeness >= cosine * norm[:, None])
+        a, z = np.searchsorted(window, [at, at + len(own)])
+        places = items.answers_at(window[a:z] - at, which[a:z], len(own))[w, j]
+        yield own[w], f[w], j, likeness[w, j] / norm[w], places
+
+
+def search_batch(b: Batch, groups: list[Items], space: Space, best: dict[tuple, tuple], cosine: float = COSINE) -> int:
+    """Put the best window of each (row, item) that is confirmed in ``best``; the number of candidates."""
+    sums, starts, number = space.fold(b.codes, b.lens, BLOCK), np.cumsum(b.lens) - b.lens, 0
+    for items in groups:
+        half = items.blocks * BLOCK // 2
+        for segment, first, j, value, places in candidates(b, sums, items, cosine):
+            number += len(j)
+            near_words: dict[tuple[int, int], set[int]] = {}
+            for k in np.flatnonzero(places >= items.needed[j]).tolist():
+                g, at, i = int(segment[k]), int(first[k]) * BLOCK, int(j[k])
+                own, low = items.words[i], int(starts[g])
+                if (g, at) not in near_words:
+                    near_words[g, at] = set(b.codes[low + max(0, at - half) : low + min(at + 3 * half, int(b.lens[g]))].tolist())
+                near = near_words[g, at]
+                if items.covered(i, near) < SUBSEQUENCE * len(own):
+                    continue
+                length = common_subsequence(own, b.codes[low + max(0, at - half) : low + min(at + 3 * half, int(b.lens[g]))].tolist())
+                if length < SUBSEQUENCE * len(own) or not (length >= SURE * len(own) or items.answered(i, near)):
+                    continue
+                key, found = (int(b.rows[g]), items.ids[i]), (length, round(float(value[k]), 4), -(int(b.firsts[g]) + at))
+                if key not in best or found > best[key][1]:
+                    best[key] = (b.ids[g], found, len(own))
+    return number
+
+
+_FOUND = "doc_id long, item_id long, cosine double, common_words long, item_words long, first_word long"
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def _slice_leaks(texts: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
+    own = [codes_of((t or "").encode()) for _, t in rows]
+    space = fit_space(texts, np.concatenate(own) if own else None)
+    shared = texts.sparkSession.sparkContext.broadcast((space, make_items(rows, space)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_space, groups = shared.value
+        best: dict[tuple, tuple] = {}
 
-def search_batch(ids: list, texts: list[bytes], codes: np.ndarray, lens: np.ndarray, items: Items, space: Space) -> list[tuple]:
-    """(id, item, cosine, subsequence, item words, first word) of the best window of each pair found.
+        def flush(before: float) -> Iterator[pa.RecordBatch]:
+            done = [(k, best.pop(k)) for k in [k for k in best if k[0] < before]]
+            if done:
+                columns = zip(*((i, item, f[1], f[0], n, -f[2]) for (_, item), (i, f, n) in done), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
-    A pair needs the answer words and the cosine; the words are looked up first, by document
-    and then by window, since that spares most projections and comparisons.
-    """
-    doc_of = np.repeat(np.arange(len(ids)), lens)
-    place, which = items.answer_places(codes)
-    kept = np.unique(items.answer_pairs(which, doc_of[place])[0])
-    if not len(kept):
-        return []
-    wanted = np.zeros(len(ids), bool)
-    wanted[kept] = True
-    codes, lens = codes[wanted[doc_of]], lens[wanted]
-    ids, texts = [ids[i] for i in kept], [texts[i] for i in kept]
-    doc_of = np.repeat(np.arange(len(ids)), lens)
-    place, which = items.answer_places(codes)
-    offset = place - (np.cumsum(lens) - lens)[doc_of[place]]
-    starts, doc = _cuts(lens, BLOCK)
-    sums = np.add.reduceat(space.project[codes % FEATURES], starts)
-    rank = (starts - (np.cumsum(lens) - lens)[doc]) // BLOCK
-    n_blocks = -(-lens // BLOCK)
-    best: dict[tuple[int, int], tuple] = {}
-    split: dict[int, list[bytes]] = {}
-    near_words: dict[tuple[int, int, int], set[bytes]] = {}
-    for c in _scales(max(map(len, items.words))):
-        later = np.arange(len(sums)) + c // 2
-        same = rank + c // 2 < n_blocks[doc]
-        sums = sums + np.where(same[:, None], sums[np.minimum(later, len(sums) - 1)], 0)
-        at = np.flatnonzero(rank % (c // 2) == 0)
-        near_words.clear()
-        norm = np.linalg.norm(sums[at], axis=1)
-        # a window's words are looked for in four halves of windows, from the one before it on
-        half = c * BLOCK // 2
-        cells = -(-lens // half)
-        cell, own_doc = offset // half, doc_of[place]
-        window = cell[:, None] + np.arange(-2, 2)
-        inside = (window >= 0) & (window < cells[own_doc][:, None])
-        window += (np.cumsum(cells) - cells)[own_doc][:, None]
-        near, j = items.answer_pairs(np.repeat(which, 4)[inside.ravel()], window[inside])
-        cosine = np.einsum("ij,ij->i", sums[at[near]], items.vectors[j])
-        good = np.flatnonzero(cosine >= COSINE * norm[near])
-        for w, j, value in zip(near[good].tolist(), j[good].tolist(), cosine[good].tolist(), strict=True):
-            d, first = int(doc[at[w]]), int(rank[at[w]]) * BLOCK
-            if d not in split:
-                split[d] = [x for part in words_of(texts[d]) for x in part]
-            own = items.words[j]
-            span = d, max(0, first - half), first + 3 * half
-            if span not in near_words:
-                near_words[span] = set(split[d][span[1] : span[2]])
-            if items.covered(j, near_words[span]) < SUBSEQUENCE * len(own):
-                continue
-            length = common_subsequence(own, split[d][span[1] : span[2]])
-            old = best.get((d, j))
-            sure = length >= SURE * len(own) or items.answered(j, near_words[span])
-            if sure and length >= SUBSEQUENCE * len(own) and (old is None or length > old[3]):
-                value = value / max(float(norm[w]), 1e-12)
-                best[d, j] = (ids[d], items.ids[j], round(value, 4), length, len(own), first)
-    return list(best.values())
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for b in _batches(batches, overlap_of(groups)):
+            search_batch(b, groups, own_space, best)
+            yield from flush(int(b.rows[-1]))  # the last document may go on
+        yield from flush(math.inf)
+
+    return texts.mapInArrow(run, _FOUND)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, item_id, cosine, common_words, item_words, first_word) of each leaked item.
 
     An item leaks into a document if a window of it has cosine COSINE, keeps SUBSEQUENCE of
     its words in order, and holds ANSWER_SHARE of it by information, where the words in order
-    are under SURE of it. Its rarer words are looked up first, which loses no such window.
-    Documents and items without words leak nothing; a repeated row is found as often as it
-    stands there. The benchmark goes to every task: over MOST_ITEMS items raise ValueError.
+    are under SURE of it. Of a pair's windows the one with most words in order is told of,
+    then that of the highest cosine, then the first. Documents and items without words (null,
+    empty, punctuation alone) leak nothing, and nor does an empty table; a repeated row is
+    found as often as it stands there, under its own id or null. Long texts are searched in
+    overlapping segments. Only the id and the text are read, so no other column's name can
+    clash. The benchmark goes to every task; one of more than ``slice_bytes`` goes in slices,
+    each with a pass of its own.
     """
-    rows = benchmark.select("item_id", "text").where("text is not null").limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} benchmark items")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, math.ceil(size / slice_bytes))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    own = [codes_of((r["text"] or "").encode()) for r in rows]
-    space = fit_space(texts, np.concatenate(own) if own else None)
-    groups = make_items([(r["item_id"], r["text"]) for r in rows], space)
-    shared = docs.sparkSession.sparkContext.broadcast((space, groups))
-    names = ["doc_id", "item_id", "cosine", "common_words", "item_words", "first_word"]
-    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_space, own_groups = shared.value
-        for ids, data, codes, lens in _batches(batches):
-            for items in own_groups:
-                found = search_batch(ids, data, codes, lens, items, own_space)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
-
-    return texts.mapInArrow(run, "doc_id long, item_id long, cosine double, common_words long, item_words long, first_word long")
+    out = None
+    for k in range(slices):
+        part = items if slices == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
+        found = _slice_leaks(texts, [(r["item_id"], r["text"]) for r in part.collect()])
+        out = found if out is None else out.union(found)
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -323,11 +324,62 @@ def test_singular_directions(spark):
     rows = []
     for r in docs.collect():
         f = decontaminate.codes_of(r["text"].encode()) % decontaminate.FEATURES
-        rows += [np.bincount(f[i : i + 64], minlength=decontaminate.FEATURES) * space.idf for i in range(0, len(f), 64)]
-    _, s, v = np.linalg.svd(np.array(rows), full_matrices=False)
-    u = space.project / np.maximum(space.idf[:, None], 1e-9)
-    caught = np.linalg.norm(np.array(rows) @ u) ** 2
-    assert caught > 0.75 * (s[: decontaminate.RANK] ** 2).sum()
+        for i in range(0, len(f), 64):
+            own = (np.bincount(f[i : i + 64], minlength=decontaminate.FEATURES) > 0) * space.idf
+            rows.append(own / max(np.linalg.norm(own), 1e-9))
+    rows = np.array(rows)
+    s = np.linalg.svd(rows, compute_uv=False)
+    u, _ = np.linalg.qr(space.project / np.maximum(space.idf[:, None], 1e-9))
+    assert np.linalg.norm(rows @ u) ** 2 > 0.75 * (s[: decontaminate.RANK] ** 2).sum()
+
+
+def plain_space(texts, items):
+    """The space and the items of a corpus, without Spark."""
+    words = decontaminate.Codes(np.concatenate([decontaminate.codes_of(t.encode()) for _, t in items]))
+    batch = list(decontaminate._batches(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])])))
+    n = np.zeros(decontaminate.FEATURES + 1 + len(words.codes), np.int64)
+    for r in decontaminate._frequencies(words)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])])):
+        n[r.column(0).to_numpy()] += r.column(1).to_numpy()
+    idf = np.log((1 + n[decontaminate.FEATURES]) / (1 + n[: decontaminate.FEATURES])).astype(np.float32)
+    project = np.random.default_rng(1).standard_normal((decontaminate.FEATURES, 48)).astype(np.float32) * idf[:, None]
+    space = decontaminate.Space(idf, project, dict(zip(words.codes.tolist(), n[decontaminate.FEATURES + 1 :].tolist(), strict=True)))
+    return batch, space, decontaminate.make_items(items, space)
+
+
+def test_cosine_proposes_the_candidates():
+    rng = np.random.default_rng(31)
+    items = [(i, prose("xx", int(rng.integers(15, 60)), rng)) for i in range(20)]
+    texts = [prose("xx", int(rng.integers(1, 300)), rng) + (" " + items[i % 20][1] if i < 40 else "") for i in range(150)]
+    batches, space, groups = plain_space(texts, items)
+    number, found = {}, {}
+    for cosine in (decontaminate.COSINE, -2.0, 1.5):
+        found[cosine] = {}
+        number[cosine] = sum(decontaminate.search_batch(b, groups, space, found[cosine], cosine) for b in batches)
+    windows = sum(-(-(-(-n // decontaminate.BLOCK)) // max(1, g.blocks // 4)) * len(g.ids) for b in batches for n in b.lens.tolist() for g in groups)
+    assert number[-2.0] == windows and number[1.5] == 0 and not found[1.5]
+    assert number[decontaminate.COSINE] < windows / 4 and set(found[decontaminate.COSINE]) == set(found[-2.0]) and len(found[-2.0]) >= 40
+
+
+def test_long_texts_and_large_benchmarks_go_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(37)
+    items = [(i, prose("xx", 30, rng)) for i in range(12)]
+    long = " ".join(prose("xx", 400, rng) + " " + t for _, t in items)
+    df = spark.createDataFrame([(1, long), (1, long), (None, items[3][1]), (7, "a")] + [(100 + i, "ba") for i in range(300)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_leaks(df, bench).select("doc_id", "item_id", "common_words").collect()), key=str)
+    assert len(whole) == 25 and whole.count((1, 5, 30)) == 2
+    sliced = sorted(map(tuple, decontaminate.find_leaks(df, bench, slice_bytes=600).select("doc_id", "item_id", "common_words").collect()), key=str)
+    assert sliced == whole
+    batches, space, groups = plain_space([long], items)
+    one, parts = {}, {}
+    for b in batches:
+        decontaminate.search_batch(b, groups, space, one)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 512)
+    small = list(decontaminate._batches(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([long])], ["i", "t"])]), decontaminate.overlap_of(groups)))
+    assert len(small[0].lens) > 10 and max(small[0].lens) <= 512
+    for b in small:
+        decontaminate.search_batch(b, groups, space, parts)
+    assert set(one) == set(parts) and len(one) == 12
 
 
 # ---------------------------------------------------------------- tokens and packing
