@@ -29,6 +29,7 @@ FRAMES = 64
 #: Output samples of one resampling block, frames of one transform, tensors of one stream.
 BLOCK, AT_ONCE, TENSORS = 64, 4096, 256
 ON_DB, OFF_DB = 1.0, -1.0
+STEP = 1 / 256
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
 
 
@@ -71,7 +72,7 @@ def _filter() -> tuple[np.ndarray, int]:
     cut = min(1 / UP, 1 / DOWN)
     h = np.sinc(k * cut) * cut * UP * np.hamming(len(k))
     inputs = BLOCK * DOWN // UP
-    band = np.zeros((inputs + 2 * half, BLOCK), np.float32)
+    band = np.zeros((inputs + 2 * half, BLOCK))
     for m in range(BLOCK):
         for i in range(len(band)):
             lag = m * DOWN - (i - half) * UP  # in steps of the rate both share
@@ -85,7 +86,7 @@ def resample(samples: np.ndarray) -> np.ndarray:
     band, half = _filter()
     step = BLOCK * DOWN // UP
     blocks = -(-len(samples) // step)
-    padded = np.zeros(blocks * step + 2 * half, np.float32)
+    padded = np.zeros(blocks * step + 2 * half)
     padded[half : half + len(samples)] = samples
     rows = np.lib.stride_tricks.as_strided(padded, (blocks, len(band)), (padded.strides[0] * step, padded.strides[0]))
     return (rows @ band).ravel()[: -(-len(samples) * UP // DOWN)]
@@ -98,11 +99,14 @@ def _mel_bank() -> tuple[np.ndarray, np.ndarray]:
     f = np.fft.rfftfreq(WINDOW, 1 / OUT_RATE)[:, None]
     low, mid, high = edges[:-2], edges[1:-1], edges[2:]
     bank = np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid)))
-    return bank.astype(np.float32), np.hanning(WINDOW + 1)[:-1].astype(np.float32)
+    return bank, np.hanning(WINDOW + 1)[:-1]
 
 
 def log_mel(samples: np.ndarray) -> np.ndarray:
-    """(frames, MELS): natural logs of mel energies of frames that overlap by half."""
+    """(frames, MELS): natural logs of mel energies of frames that overlap by half.
+
+    Worked out in double precision and rounded to STEP, so that the last bits in which
+    machines differ don't show."""
     bank, window = _mel_bank()
     n = max(1, 1 + (len(samples) - WINDOW) // HOP)
     if len(samples) < WINDOW:
@@ -111,7 +115,7 @@ def log_mel(samples: np.ndarray) -> np.ndarray:
     out = np.empty((n, MELS), np.float32)
     for at in range(0, n, AT_ONCE):
         spectrum = np.fft.rfft(frames[at : at + AT_ONCE] * window, axis=1)
-        out[at : at + AT_ONCE] = np.log((spectrum.real**2 + spectrum.imag**2) @ bank + np.float32(1e-6))
+        out[at : at + AT_ONCE] = np.rint(np.log((spectrum.real**2 + spectrum.imag**2) @ bank + 1e-6) / STEP) * STEP
     return out
 
 
@@ -151,33 +155,36 @@ def read_tensors(stored: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(stored).read_next_batch()
 
 
-_DIGESTS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-_STORED = [("media", pa.binary()), ("tensors", pa.list_(pa.binary())), ("span_starts", pa.list_(pa.float64())), ("span_ends", pa.list_(pa.float64()))]
+_DIGESTS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tensors", pa.int64()), ("tensor_bytes", pa.int64()), ("span_starts", pa.list_(pa.float64())), ("span_ends", pa.list_(pa.float64()))]
+_STORED = [("media", pa.binary()), ("tensors", pa.list_(pa.binary()))]
 
 
 def _features(data: bytes, store: bool) -> tuple:
     media = encode_media(payload_of(data))
     back = decode_media(media)
-    mel = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
+    mel = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float64) - 128) / 128))
     spans = active_spans(mel)
-    crc, kept = 0, []
-    for batch in tensors_of(mel):
+    crc, kept, total = 0, [to_ipc(batch) for batch in tensors_of(mel)], 0
+    for stored in kept:  # the digest is of what is stored, read back
+        batch = read_tensors(stored)
         values = batch.column(3).storage.flatten().to_numpy(zero_copy_only=False)
-        crc = zlib.crc32(np.rint(values * 16).astype("<i2").tobytes(), crc)
-        if store:
-            kept.append(to_ipc(batch))
+        crc = zlib.crc32(np.rint(values / STEP).astype("<i2").tobytes(), crc)
+        total += batch.num_rows
     active = sum(e - s for s, e in spans)
     feature = f"frames={len(mel)};mels={MELS};spans={len(spans)};active={active:.3f};mel={crc:08x}"
-    digests = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-    return digests + ((media, kept, [s for s, _ in spans], [e for _, e in spans]) if store else ())
+    digests = (len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, total, sum(map(len, kept)))
+    return digests + ([s for s, _ in spans], [e for _, e in spans]) + ((media, kept) if store else ())
 
 
 def audio_features(df: DataFrame, id_col: str = "doc_id", data_col: str = "text", store: bool = True) -> DataFrame:
     """For each row: lossless media, log-mel tensors with spans, active spans, and digests of them.
 
     Text is taken as UTF-8, null as empty. A row depends on its own bytes alone, so
-    equal data has equal values, and no row meets another. ``store=False`` leaves out
-    the media and tensors. Only ``id_col`` and the made columns are returned.
+    equal data has equal values, and no row meets another; repeated rows stay, and an empty
+    table gives an empty table. A text takes some 60 bytes of a worker's memory for each of its
+    own, in one piece. Media and tensors are always made and read back for the digests;
+    ``store=False`` doesn't return them. Only ``id_col`` and the made columns are returned, so
+    no name can clash.
     """
     made = _DIGESTS + _STORED * store
     kind = df.schema[id_col].dataType.simpleString()
@@ -197,4 +204,5 @@ def audio_features(df: DataFrame, id_col: str = "doc_id", data_col: str = "text"
 
 
 def op1_audio_features(spark, sf_dir: str) -> DataFrame:
+    """All documents with the digests of their stored media and tensors, and their active spans."""
     return audio_features(spark.read.parquet(f"{sf_dir}/documents.parquet"), store=False)
