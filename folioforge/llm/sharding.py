@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from folioforge.llm.common import plain_name
+from folioforge.llm.common import plain_name, settle
 
 #: The generator's multiplier, a fixed value of the published method.
 MULTIPLIER = 2862933555777941757
@@ -62,14 +62,30 @@ def jump_hash(key: Column, shards: int, integral: bool = True) -> Column:
     return F.aggregate(steps, start, lambda s, _: _step(s, shards), done).cast("int")
 
 
-def shard(df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", slot_col: str | None = None, order: list[str] | None = None) -> DataFrame:
+def _cell(at: Column, cuts: list[int], width: int = 32) -> Column:
+    """How many of the ascending ``cuts`` are at most ``at``: a step over every ``width``-th, then one within."""
+    if not cuts:
+        return F.lit(0)
+    rough = F.lit([c for c in cuts[width - 1 :: width]] or [cuts[-1]]) if len(cuts) >= width else None
+    whole = F.lit(cuts)
+    if rough is None:
+        return F.size(F.filter(whole, lambda c: c <= at))
+    first = F.size(F.filter(rough, lambda c: c <= at)) * width
+    return first + F.size(F.filter(F.slice(whole, first + 1, F.lit(width)), lambda c: c <= at))
+
+
+def shard(
+    df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", slot_col: str | None = None, order: list[str] | None = None, rows_per_cell: int = ROWS_PER_CELL
+) -> DataFrame:
     """``df`` with its shard, and with a gapless place in the shard if ``slot_col`` is given.
 
-    Rows are numbered by ``order`` (the key, if not given). No task sorts a whole
-    shard: each shard is cut into ranges of the key, each range is numbered alone, and
-    the counts of the ranges before it (at most MOST_CELLS rows) are added. A null key
-    goes where 0 goes and is numbered first. Columns named like the made ones are replaced. Rows equal in ``order`` get different
-    places in any order. An empty table gives an empty result.
+    Rows are numbered by ``order`` (the key, if not given). No task sorts a whole shard: the
+    keys' quantiles cut each shard into ranges, a range of one much repeated key is cut again
+    by the task that read a row, each range is numbered alone, and the counts of the ranges
+    before it are added. The rows with their ranges are written once, so that counts and
+    numbers agree. A null key goes where 0 goes and is numbered first. Columns named like the
+    made ones are replaced. Rows equal in ``order``, and those of a key that is cut again, get
+    different places in any order. An empty table gives an empty result.
     """
     kind = df.schema[key].dataType
     integral = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
@@ -77,29 +93,27 @@ def shard(df: DataFrame, key: str, shards: int, *, shard_col: str = "shard", slo
     if slot_col is None:
         return out
     order = order or [key]
-    at = F.col(key).cast("long") if integral else F.shiftright(F.xxhash64(F.col(key)), 1)
-    low, high, n = df.select(F.min(at), F.max(at), F.count(F.lit(1))).first()
-    cells = max(1, min(MOST_CELLS // shards, math.ceil(n / shards / ROWS_PER_CELL)))
-    if low is None or high == low:
-        cells = 1
-    width = 1 if low is None else (high - low) // cells + 1
-    cell = F.coalesce(F.floor((at.cast("decimal(38,0)") - F.lit(low or 0).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")), F.lit(0)).cast("int")
-    if cells == 1:
-        cell = F.lit(0)
-    cell_col, rank_col, before_col = (plain_name(out, n) for n in ("_cell", "_rank", "_before"))
-    out = out.withColumn(cell_col, cell)
-    counts = (
-        df.select(jump_hash(F.col(key), shards, integral).alias(shard_col), cell.alias(cell_col))
-        .groupBy(shard_col, cell_col).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    before = W.partitionBy(shard_col).orderBy(cell_col).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(shard_col, cell_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(before_col))
-    here = W.partitionBy(shard_col, cell_col).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    at = F.col(key).cast("long") if integral else F.xxhash64(F.col(key))
+    n = df.count()
+    cells = max(1, min(MOST_CELLS // shards, math.ceil(n / shards / rows_per_cell)))
+    cuts: list[int] = []
+    if cells > 1:
+        found = df.select(F.percentile_approx(at, [i / cells for i in range(1, cells)], 20_000)).first()[0] or []
+        hot = {a for a, b in zip(found, found[1:], strict=False) if a == b}
+        cuts = sorted({x for c in found for x in ((c, c + 1) if c in hot and c < (1 << 63) - 1 else (c,))})
+    cell_col, part_col, rank_col, before_col = (plain_name(out, n) for n in ("_cell", "_part", "_rank", "_before"))
+    part = F.when(at.isNull() | at.isin(*sorted(hot)), F.spark_partition_id()).otherwise(0) if cells > 1 else F.lit(0)
+    cell = F.when(at.isNull(), -1).otherwise(_cell(at, cuts))
+    out = settle(out.withColumn(cell_col, cell).withColumn(part_col, part), "cells")
+    counts = out.groupBy(shard_col, cell_col, part_col).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(shard_col).orderBy(cell_col, part_col).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(shard_col, cell_col, part_col, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(before_col))
+    here = W.partitionBy(shard_col, cell_col, part_col).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = out.withColumn(rank_col, F.row_number().over(here).cast("long"))
     return (
-        numbered.join(F.broadcast(counts), [shard_col, cell_col])  # at most MOST_CELLS rows
+        numbered.join(F.broadcast(counts), [shard_col, cell_col, part_col])  # MOST_CELLS rows, and one a task for each hot key (under MOST_CELLS of them)
         .withColumn(slot_col, F.col(rank_col) - 1 + F.col(before_col))
-        .drop(cell_col, rank_col, before_col)
+        .drop(cell_col, part_col, rank_col, before_col)
     )
 
 
