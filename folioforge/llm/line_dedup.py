@@ -43,21 +43,41 @@ def common_lines(df: DataFrame, min_docs: int, min_chars: int, id_col: str = "do
     """(h1, h2, keeper): keys in at least ``min_docs`` documents and the largest id that holds each.
 
     A document counts once for a key, so a partial sum before the shuffle leaves a row
-    for each key and task, however many documents share a line. Each row with an id
-    counts as a document.
+    for each key and task, however many documents share a line. Rows of one id are one
+    document: only the lines of ids that repeat are made distinct first. Rows with a null id
+    don't count.
     """
-    held = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(_hashes(F.col(text_col), min_chars)).alias("_h"))
-    held = held.select("_id", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
-    return held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    own = df.where(F.col(id_col).isNotNull())
+    several = settle(own.groupBy(F.col(id_col).alias("_several")).count().where("count > 1").select("_several"), "repeated-ids")
+    n = several.limit(BROADCAST_ROWS + 1).count()
+    several = F.broadcast(several) if n <= BROADCAST_ROWS else several
+
+    def held(rows: DataFrame) -> DataFrame:
+        each = rows.select(F.col(id_col).alias("_id"), F.explode(_hashes(F.col(text_col), min_chars)).alias("_h"))
+        return each.select("_id", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
+
+    lines = held(own)
+    if n:
+        same = own[id_col] == several["_several"]
+        lines = held(own.join(several, same, "left_anti")).union(held(own.join(several, same, "left_semi")).distinct())
+    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+
+
+def _salted(held: DataFrame, common: DataFrame, parts: int = 16) -> DataFrame:
+    """The join by line hash where common lines are too many to broadcast: each is sent to
+    ``parts`` places, so that a line which a third of all rows hold isn't one task's."""
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int"))
+    copies = common.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, ["h1", "h2", "part"]).drop("part")
 
 
 def dedup_lines(df: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``text_col`` without its common lines, and with n_lines and n_dropped.
 
     A key found in ``min_docs`` documents loses all its lines except in the largest id
-    that holds it. Null or empty text is one empty line. The ids must be distinct: the
-    rows of a repeated id count as that many documents, and each of them keeps what its id
-    keeps. Rows with a null id don't count as holders and lose all common lines.
+    that holds it. Null or empty text is one empty line. Rows of a repeated id count as
+    one document, and each of them keeps what its id keeps. Rows with a null id don't count
+    as holders and lose all common lines.
     All other columns stay, but for ones named n_lines or n_dropped, which are replaced; an
     empty table gives an empty table.
     """
@@ -66,7 +86,8 @@ def dedup_lines(df: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col
     own_id, gone, left = (plain_name(df, n) for n in ("_id", "_lost", "_kept"))
     held = df.select(F.col(id_col).alias("_id"), F.explode(_hashes(F.col(text_col), min_chars)).alias("_h"))
     held = held.select("_id", F.col("_h.h1").alias("h1"), F.col("_h.h2").alias("h2"))
-    lost = held.join(F.broadcast(common) if small else common, ["h1", "h2"]).where(~F.col("_id").eqNullSafe(F.col("keeper")))
+    lost = held.join(F.broadcast(common), ["h1", "h2"]) if small else _salted(held, common)
+    lost = lost.where(~F.col("_id").eqNullSafe(F.col("keeper")))
     lost = lost.groupBy(F.col("_id").alias(own_id)).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
     with_lost = df.join(lost, df[id_col].eqNullSafe(lost[own_id]), "left").drop(own_id)
     lines = lines_of(F.col(text_col))
@@ -78,6 +99,7 @@ def dedup_lines(df: DataFrame, *, min_docs: int = 5, min_chars: int = 40, id_col
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents with their numbers of lines and a digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
