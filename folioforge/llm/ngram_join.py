@@ -396,7 +396,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _candidate_sets(docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
-    """Packed rows with the sets of ``classes``, each from one document that has it."""
+    """Packed rows with the sets of ``classes``, each from one document that has it; a class
+    that only rows without an id hold comes from those."""
     own = table.join(_small(classes), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     own = settle(own.select("doc_id").distinct(), "survivors")
 
@@ -405,7 +406,7 @@ def _candidate_sets(docs: DataFrame, table: DataFrame, classes: DataFrame) -> Da
             counts = np.array([len(s) for s in sets], "<u4")
             yield _frame([(_block_id(digests), counts.tobytes(), np.concatenate(sets).astype("<u8").tobytes(), b"".join(digests))], ["block", "counts", "tokens", "classes"], [pa.binary()] * 4)
 
-    return settle(docs.join(_small(own), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "block binary, counts binary, tokens binary, classes binary"), "sets")
+    return settle(docs.join(_small(own.withColumnRenamed("doc_id", "_own")), F.col("doc_id").eqNullSafe(F.col("_own")), "left_semi").select("doc_id", "text").mapInArrow(run, "block binary, counts binary, tokens binary, classes binary"), "sets")
 
 
 def _spread(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -427,7 +428,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(total: int) -> int:
-    return max(8, min(1 << 16, math.ceil(total / PER_BUCKET)))
+    return max(8, math.ceil(total / PER_BUCKET))
 
 
 def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -435,8 +436,9 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows link if 100 * shared >= 75 * union over their distinct 5-word shingles; the
     component is the smallest id that links reach. Rows without words link to nothing.
-    Repeated rows and ids are kept; a null id is smaller than none, so it never names a
-    component except its own. An empty table gives an empty table.
+    Repeated rows and ids are kept; rows without an id link like others and pass links on,
+    but only name a component that holds no id. Other columns aren't read, so their names
+    can't clash. An empty table gives an empty table.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = settle(class_table(docs, "doc_id", "text"), "classes")
@@ -468,8 +470,9 @@ def similarity_components(df: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = named.join(_small(found.select(F.col("v").alias("root")).distinct()), "root", "left_semi")
     roots = lowest.groupBy("root").agg(F.min("low").alias("component"))
     of_class = named.join(roots, "root", "left").select("cls", F.coalesce("component", "low").alias("component_id"))
-    return table.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return table.join(_small(of_class), "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """All documents with the size of their shingle set and their component."""
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

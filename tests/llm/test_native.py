@@ -29,19 +29,40 @@ def test_jump_hash_matches_the_published_loop(spark):
     assert all(r["a"] == r["b"] or r["b"] == 8 for r in df.select(sharding.jump_hash(F.col("k"), 8).alias("a"), sharding.jump_hash(F.col("k"), 9).alias("b")).collect())
 
 
-def test_slots_are_gapless(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_PER_CELL", 7)
+def test_slots_are_gapless(spark):
+    shard = lambda df, key, n, **more: sharding.shard(df, key, n, rows_per_cell=7, **more)
     rows = [(i if i % 5 else None, f"t{i}", i) for i in range(300)] + [(7, "again", 0)] * 20
     df = spark.createDataFrame(rows, "doc_id long, shard string, slot long").withColumnRenamed("shard", "other")
-    out = sharding.shard(df.drop("slot"), "doc_id", 4, slot_col="slot").collect()
+    out = shard(df.drop("slot"), "doc_id", 4, slot_col="slot").collect()
     assert len(out) == len(rows)
     for s in range(4):
         own = sorted((r["slot"], r["doc_id"] or 0) for r in out if r["shard"] == s)
         assert [x for x, _ in own] == list(range(len(own)))
-    assert sharding.shard(df.limit(0), "doc_id", 4, slot_col="n").count() == 0
-    clash = sharding.shard(df.select("doc_id", *[F.lit(1).alias(c) for c in ("_cell", "_rank", "_before", "_n", "shard")]), "doc_id", 4, slot_col="slot").collect()
+    assert shard(df.limit(0), "doc_id", 4, slot_col="n").count() == 0
+    clash = shard(df.select("doc_id", *[F.lit(1).alias(c) for c in ("_cell", "_rank", "_before", "_n", "shard")]), "doc_id", 4, slot_col="slot").collect()
     assert len({(r["shard"], r["slot"]) for r in clash}) == len(rows) and {r["_cell"] + r["_rank"] + r["_before"] for r in clash} == {3}
-    assert {r["shard"] for r in sharding.shard(spark.createDataFrame([("x",), (None,)], "doc_id string"), "doc_id", 3).collect()} <= {0, 1, 2}
+    assert {r["shard"] for r in shard(spark.createDataFrame([("x",), (None,)], "doc_id string"), "doc_id", 3).collect()} <= {0, 1, 2}
+
+
+def test_cells_follow_the_keys(spark):
+    """One far outlier, and one key and nulls that hold a third of the rows each, leave no large range."""
+    ids = [*range(4000), 2**62, *[17] * 4000, *[None] * 4000]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(6)
+    out = sharding.shard(df, "doc_id", 2, slot_col="slot", rows_per_cell=250).collect()
+    for s in (0, 1):
+        own = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert own == list(range(len(own)))
+    seen = []
+    settle = sharding.settle
+    try:
+        sharding.settle = lambda t, label: seen.append(settle(t, label)) or seen[-1]
+        sharding.shard(df, "doc_id", 2, slot_col="slot", rows_per_cell=250)
+    finally:
+        sharding.settle = settle
+    assert max(r["count"] for r in seen[0].groupBy("shard", "_cell", "_part").count().collect()) < 1500
+    cuts = list(range(0, 3000, 3))
+    got = spark.createDataFrame([(x,) for x in (-1, 0, 1, 95, 96, 97, 2999, 5000)], "x long").select("x", sharding._cell(F.col("x"), cuts).alias("c")).collect()
+    assert all(r["c"] == sum(c <= r["x"] for c in cuts) for r in got)
 
 
 def test_shard_query_columns(spark, tmp_path):
@@ -84,6 +105,18 @@ def test_line_dedup(spark, monkeypatch, broadcast):
     assert {r["_id"] + r["_lost"] + r["_kept"] for r in line_dedup.dedup_lines(clash).collect()} == {21}
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "a line that is shared and long enough to be counted as one"
+    rows = [(1, line), (1, line), (1, line), (2, line), (3, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["n_dropped"] for r in line_dedup.dedup_lines(df).collect()} == {0}
+    more = spark.createDataFrame([*rows, (4, line), (5, line), (5, line), (None, line)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in line_dedup.dedup_lines(more).collect()) == [(0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 0), (5, 0)]
+    held = spark.createDataFrame([(i, 1, 2) for i in range(40)], "_id long, h1 long, h2 long")
+    assert line_dedup._salted(held, spark.createDataFrame([(1, 2, 39), (3, 4, 1)], "h1 long, h2 long, keeper long")).count() == 40
+
+
+
 # ---------------------------------------------------------------- personal data
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
