@@ -258,55 +258,117 @@ def test_filter_holds_every_gram_and_few_others():
     assert abs(rate - model.false_rates[0]) < 0.01
 
 
-def test_kneser_ney_sums_to_one_and_matches_counts(spark):
-    texts = [prose("xx", 400) for _ in range(20)]
-    df = spark.createDataFrame([(t, "xx") for t in texts] + [("tiny", "zz"), (None, "xx"), ("b c", None)], "text string, lang string")
+class PlainModel:
+    """The same model from dictionaries, one n-gram at a time."""
+
+    def __init__(self, texts):
+        counts = {quality.ORDER: {}}
+        for data in texts:
+            for g in self.grams(data):
+                counts[quality.ORDER][g] = counts[quality.ORDER].get(g, 0) + 1
+        for k in range(quality.ORDER - 1, 0, -1):
+            counts[k] = {}
+            for g in counts[k + 1]:
+                counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+        self.size, self.counts, self.contexts, self.d = sum(counts[quality.ORDER].values()), counts, {}, {}
+        for k, own in counts.items():
+            n = [sum(v == i for v in own.values()) for i in range(1, 5)]
+            d = [0, 0.5, 1.0, 1.5]
+            if all(n):
+                y = n[0] / (n[0] + 2 * n[1])
+                d = [0, *(min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3))]
+            self.d[k] = d
+            for g, v in own.items():
+                total, freed = self.contexts.get((k, g[:-1]), (0, 0.0))
+                self.contexts[k, g[:-1]] = total + v, freed + d[min(v, 3)]
+
+    @staticmethod
+    def grams(data):
+        c = quality._START + data.translate(quality.CLASS_TABLE)
+        return [c[i : i + quality.ORDER] for i in range(len(data))]
+
+    def p(self, g):
+        if not g:
+            return 1 / quality.CLASSES
+        k, below = len(g), self.p(g[1:])
+        if (k, g[:-1]) not in self.contexts:
+            return below
+        total, freed = self.contexts[k, g[:-1]]
+        v = self.counts[k].get(g, 0)
+        return (v - self.d[k][min(v, 3)]) / total + freed / total * below
+
+
+def plain_bits(own, pooled, data):
+    share = quality.POOLED_BYTES / (own.size + quality.POOLED_BYTES) if own else 1.0
+    return sum(-np.log2(max(share * pooled.p(g) + ((1 - share) * own.p(g) if own else 0), 1e-12)) for g in PlainModel.grams(data))
+
+
+@pytest.mark.parametrize("group", [1 << 25, 2_000])
+def test_perplexity_and_decision_by_brute_force(spark, group, monkeypatch):
+    """Against dictionaries, with one shard and with many, salted ones."""
+    rng = np.random.default_rng(43)
+    trusted = [(prose("xx" if i % 3 else "yy", 60, rng), "xx" if i % 3 else "yy") for i in range(60)] + [("tiny text", "zz"), (None, "xx"), ("b c", None)]
+    df = spark.createDataFrame(trusted, "text string, lang string")
+    monkeypatch.setattr(quality, "GROUP_BYTES", group)
+    monkeypatch.setattr(quality, "CELLS", 4096)
+    held = {r["text"] for r in df.where(F.pmod(F.xxhash64("text"), F.lit(quality.HELD_OUT)) == 0).collect()}
+    fitted = [(t, x) for t, x in trusted if t and t not in held]
+    of = {x: PlainModel([t.encode() for t, y in fitted if y == x]) for x in ("xx", "yy", "zz") if any(y == x for _, y in fitted)}
+    pooled = PlainModel([t.encode() for t, _ in fitted])
+    bits = lambda t, x: plain_bits(of.get(x), pooled, t.encode())
+    rows = [(1, prose("xx", 30, rng), "xx"), (2, prose("yy", 30, rng), "xx"), (3, "%&/ $$$ 42 " * 9, "yy"), (4, "ba co", None), (5, "ȘȚ! x", "new"), (6, "", "xx"), (7, None, None), (8, "tiny text", "zz"), (1, prose("yy", 20, rng), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     model = quality.fit(df)
-    assert set(model.levels) == {"xx", quality.POOLED}
-    p = model.probabilities("xx", 3).reshape(-1, quality.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-    counts = {}
-    for t in texts:
-        c = quality._START + t.encode().translate(quality.CLASS_TABLE)
-        for i in range(3, len(c)):
-            counts[c[i - 3 : i + 1]] = counts.get(c[i - 3 : i + 1], 0) + 1
-    grams, own, _, _ = model.levels["xx"][4]
-    n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
-    d = [0, 0.5, 1.0, 1.5]
-    if all(n):
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [0, *(min(i, max(0.0, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3))]
-    total = {}
-    for g, v in counts.items():
-        total[g[:3]] = total.get(g[:3], 0) + v
-    code = lambda g: g[0] << 18 | g[1] << 12 | g[2] << 6 | g[3]
-    want = {code(g): (v - d[min(v, 3)]) / total[g[:3]] for g, v in counts.items()}
-    assert set(grams.tolist()) == set(want) and np.allclose(own, [want[g] for g in grams.tolist()], atol=1e-9)
+    got = {(r["doc_id"], r["text"]): r for r in quality.score(docs, model.levels, "text", "lang", "b", "n", group).collect()}
+    for i, t, x in rows:
+        assert got[i, t]["n"] == len((t or "").encode()) and abs(got[i, t]["b"] - bits(t or "", x)) <= 1e-4 * max(1, got[i, t]["b"])
+    # limits by definition: the quantile of held-out rates, mixed with the pooled excess
+    out = [(t, x) for t, x in trusted if t in held]
+    rated = {x: [(bits(t, x), len(t.encode())) for t, y in out if y == x] for x in {y for _, y in out if y}}
+    rated[quality.POOLED] = [(plain_bits(None, pooled, t.encode()), len(t.encode())) for t, _ in out]
+    mean = {x: sum(b for b, _ in v) / sum(n for _, n in v) for x, v in rated.items()}
+    rate = lambda b, n, x: (b + quality.PRIOR_BYTES * mean[x]) / (n + quality.PRIOR_BYTES)
+    rates = {x: [rate(b, n, x) for b, n in v] for x, v in rated.items()}
+    spread = {x: 3.0902323 * float(np.std(v, ddof=1)) if len(v) > 1 else 0.0 for x, v in rates.items()}
+    top = {x: max(max(v) - mean[x], spread[x]) for x, v in rates.items()}  # the quantile of so few is the largest
+    limit = {x: mean[x] + max(0, top[x] if x == quality.POOLED else (len(v) * top[x] + quality.POOLED_DOCS * top[quality.POOLED]) / (len(v) + quality.POOLED_DOCS)) for x, v in rated.items()}
+    assert {r["lang"]: (round(r["mean"], 4), round(r["limit"], 4)) for r in model.limits.collect()} == {x: (round(mean[x], 4), round(limit[x], 4)) for x in mean}
+    decided = {(r["doc_id"], r["text"]): r for r in quality.classify(docs, df).collect()}
+    for i, t, x in rows:
+        r, own = decided[i, t], x if x in mean else quality.POOLED
+        assert r["perplexity"] is None if not t else abs(r["perplexity"] - 2 ** (bits(t, x) / len(t.encode()))) < 1e-3 * r["perplexity"]
+        assert r["accepted"] == (not t or rate(bits(t, x), len(t.encode()), own) <= limit[own] + 1e-9)
+    assert not decided[3, rows[2][1]]["accepted"] and decided[1, rows[0][1]]["accepted"]
+
+
+def test_probabilities_sum_to_one():
+    model = PlainModel([prose("xx", 300).encode()])
+    context = quality._START[:2] + b"\x02\x01\x35"
+    assert abs(sum(model.p(context + bytes([c])) for c in range(quality.CLASSES)) - 1) < 1e-9
 
 
 def test_quality_keeps_prose_and_drops_noise(spark):
     rng = np.random.default_rng(17)
-    good = [(i, prose("xx", 80, rng), "xx") for i in range(80)]
-    bad = [(100 + i, prose("xx", 60, rng).upper().replace(" ", "!! "), "xx") for i in range(5)]
-    df = spark.createDataFrame(good + bad + [(200, None, "xx"), (201, "", None)], "doc_id long, text string, lang string").withColumn("bits", F.lit("x"))
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(0, 0, 0), (100, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    good = [(i, prose("xx", 80, rng), "xx") for i in range(300)]
+    bad = [(1000 + i, prose("xx", 60, rng).upper().replace(" ", "!! "), "xx") for i in range(5)]
+    df = spark.createDataFrame(good + bad + [(2000, None, "xx"), (2001, "", None)], "doc_id long, text string, lang string").withColumn("_bits", F.lit("x"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(250)] + [(0, 0, 0), (1000, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     trusted = quality.trusted_rows(df, labels)
-    assert trusted.count() == 59
+    assert trusted.count() == 249
     got = {r["doc_id"]: r for r in quality.classify(df, trusted).collect()}
-    assert not any(got[100 + i]["accepted"] for i in range(5)) and sum(got[i]["accepted"] for i in range(60)) >= 57 and sum(got[i]["accepted"] for i in range(60, 80)) >= 15  # sixty texts make a narrow quantile
-    assert got[200]["accepted"] and got[200]["perplexity"] is None and got[201]["accepted"]
-    assert all(r["accepted"] for r in quality.classify(df, df.limit(0)).collect())
+    assert len(got) == 307 and {r["_bits"] for r in got.values()} == {"x"}
+    assert not any(got[1000 + i]["accepted"] for i in range(5)) and sum(got[i]["accepted"] for i in range(250)) >= 246 and sum(got[i]["accepted"] for i in range(250, 300)) >= 46
+    assert got[2000]["accepted"] and got[2000]["perplexity"] is None and got[2001]["accepted"]
+    assert all(r["accepted"] for r in quality.classify(df, df.limit(0)).collect()) and quality.classify(df.limit(0), trusted).count() == 0
 
 
-def test_pooled_limit_without_trusted_rows_of_small_languages(spark):
+def test_texts_of_other_languages_meet_the_pooled_limit(spark):
     rng = np.random.default_rng(23)
     good = [(i, prose("xx" if i % 2 else "yy", 400, rng), "xx" if i % 2 else "yy") for i in range(80)]
     noise = "".join(map(chr, rng.integers(33, 127, 900)))
     df = spark.createDataFrame([*good, (100, noise, None), (101, noise, "zz"), (102, noise, "xx"), (103, prose("xx", 200, rng), None), (104, prose("yy", 200, rng), "zz")], "doc_id long, text string, lang string")
-    model = quality.fit(df.where("doc_id < 80"))
-    assert set(model.levels) == set(model.limits) == {"xx", "yy", quality.POOLED}
     got = {r["doc_id"]: r["accepted"] for r in quality.classify(df, df.where("doc_id < 80")).collect()}
-    assert [got[i] for i in range(100, 105)] == [False, False, False, True, True]
+    assert [got[i] for i in range(100, 103)] == [False] * 3 and got[103] and got[104]
 
 
 # ---------------------------------------------------------------- leaks
