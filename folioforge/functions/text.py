@@ -146,12 +146,12 @@ def numeral_value(word: Column) -> Column:
 
 def no_anaphora(text: Column) -> Column:
     """None of the fixed phrases that point back at an earlier telling."""
-    return ~F.regexp_like(text, F.lit(r"(?iU)(?<!\w)ca\s+(?:și\s+)?(?:în\s+)?(?:celelalte|mai\s+înainte|de\s+obicei|alt[ăa]\s+dat[ăa])(?!\w)"))
+    return ~F.regexp_like(text, F.lit("(?iU)" + L.ANAPHORA))
 
 
 def plural_pronouns_closed(text: Column) -> Column:
     """Each plural pronoun is followed by punctuation, so it closes its clause."""
-    return ~F.regexp_like(text, F.lit(r"(?iU)(?<!\w)(?:ei|ele)(?!\w)(?!\s*[,;.!?])"))
+    return ~F.regexp_like(text, F.lit("(?iU)" + L.PLURAL_SUBJECT))
 
 
 def opens_quote(text: Column) -> Column:

@@ -37,6 +37,21 @@ MEMBER_KINDS = {
     "instruments": "cu (?:harfe|lăute|timpane|fluiere|chimvale)",
     "kinship": "(?:os din oasele|carne din carnea) (?:tale|mele)",
 }
+#: Patterns that must be as they are, without regard to case.
+ANAPHORA = r"(?<!\w)ca\s+(?:și\s+)?(?:în\s+)?(?:celelalte|mai\s+înainte|de\s+obicei|alt[ăa]\s+dat[ăa])(?!\w)"
+PLURAL_SUBJECT = r"(?<!\w)(?:ei|ele)(?!\w)(?!\s*[,;.!?])"
+FREE_CLITICS = ["îl"]
+OBJECT_CLITICS = {"l": ["a", "au", "o"], "le": ["a", "au"], "i": ["a", "au", "o"]}
+DEMONSTRATIVES_BEFORE = ["acest", "această", "acești", "aceste", "acel", "acea", "acei", "acele"]
+DEMONSTRATIVES_AFTER = ["acesta", "aceasta", "aceștia", "acestea", "acela", "aceea", "aceia", "acelea"]
+#: What a user is told about a selection.
+SELECTION_MESSAGES = {
+    "book": "Carte necunoscută sau ambiguă: {!r}",
+    "line": "Selecție invalidă: {!r}",
+    "range": "Interval de capitole invalid: {!r}",
+    "chapter": "Capitol inexistent: {}. O carte are cel mult {} de capitole.",
+    "empty": "Introduceți cel puțin o carte și un capitol.",
+}
 TRIM = " ,;:-–—„”\"'!?."
 BLANK = "__________"
 MAX_CHAPTER, MIN_CHAPTERS = 150, 3

@@ -93,6 +93,24 @@ def test_predicates_and_lists():
     assert R.numeral_stem("Au adus trei corăbii și cinci cai la rege.") is None
 
 
+def test_reported_speech_and_lists():
+    assert R.name_predicate("Atunci Samuel a zis: „Vino!” Apoi a plecat.", "Samuel", quotes=True) == "a zis: „Vino!”"
+    assert R.name_predicate("Atunci Samuel a zis: „Vino! Apoi a plecat.", "Samuel", quotes=True) is None
+    assert R.rival_words("Samuel a zis: „Vino aici!” și a tăcut.", "Samuel") == [frozenset({"a", "zis", "vino", "aici"})]
+    assert R.rival_words("Samuel a zis: pleacă.", "Samuel") == [frozenset({"a", "zis"})]
+    assert R.enumeration("Solul a adus regelui trei pâini, un vițel gras sau cinci oi pregătite.") == ("Solul a adus regelui __________", ["trei pâini", "un vițel gras", "cinci oi pregătite"])
+    assert R.enumeration("Solul a adus regelui trei pâini și trei pâini.") is None
+    assert R.clause_halves("Regele a mers.") is None
+
+
+def test_patients_and_pointers():
+    assert not R.self_contained("Atunci l-a chemat la masă.") and R.self_contained("Atunci l-a chemat pe David la masă.")
+    assert not R.self_contained("Soldatul îl privea mirat.") and R.self_contained("Soldatul îl privea pe Saul mirat.")
+    assert R.self_contained("I-a dat fratelui pâine.") and not R.self_contained("Glasul fratelui l-a mustrat.")
+    assert not R.self_contained("Omul acela venea din câmp.") and R.self_contained("În ziua aceea era liniște.")
+    assert R.self_contained("Regele acesta domnea.", "Regele David era drept. Regele acesta domnea.")
+
+
 def test_leading_blank_needs_rivals():
     (stem,) = R.completions("Samuel a vorbit poporului despre legea cea nouă a țării.", "Samuel")
     assert stem.tail and R.unambiguous(stem.tail, "Samuel", [("Saul", frozenset({"altceva"}))])
