@@ -6,9 +6,8 @@ chapter), a good label for quality, an event for a request.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -422,22 +421,17 @@ def containment_ambiguity(spark, sf_dir):
     return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("ambiguous"))
 
 
-@_query()
+@_query(
+    rf"""WITH {_SENTENCES}, g AS (
+        SELECT doc_id, count(*) AS n, list([list_filter({_word_set("sentence")}, lambda x: NOT regexp_full_match(x, '_+'))] ORDER BY sentence_no) AS w FROM sentences GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(len(list_reduce(list_prepend([]::VARCHAR[][], w), lambda kept, v: CASE WHEN len(v[1]) > 0 AND len(list_filter(kept, lambda k:
+        10 * len(list_intersect(k, v[1])) >= 7 * greatest(len(k), len(v[1])))) = 0 THEN list_concat(kept, v) ELSE kept END)), 0)::BIGINT AS n_claimed
+    FROM documents LEFT JOIN g USING (doc_id)"""
+)
 def greedy_ledger(spark, sf_dir):
     """How many of a document's sentences a running ledger of stems takes."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", X.sentences(F.col("text")).alias("s"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from folioforge.plans.paper import StemLedger
-
-        for b in batches:
-            taken = []
-            for stems in b["s"]:
-                book = StemLedger()
-                taken.append(sum(book.claim(s) for s in (stems if stems is not None else ())))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_sentences": [len(s) if s is not None else 0 for s in b["s"]], "n_claimed": taken})
-
-    return docs.mapInPandas(run, "doc_id long, n_sentences long, n_claimed long")
+    told = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(X.sentences(F.col("text")), F.array().cast("array<string>")).alias("s"))
+    return told.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size(X.ledger(F.col("s"))).cast("long").alias("n_claimed"))
 
 
 # ---------------------------------------------------------------- counts and checks
