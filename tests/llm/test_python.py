@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from folioforge.llm import audio, components, decontaminate, language_id, ngram_join, packing, quality, shingles, tokens
+from folioforge.llm import audio, common, components, decontaminate, language_id, ngram_join, packing, quality, shingles, tokens
 
 RNG = np.random.default_rng(7)
 SYLLABLES = {"xx": ["ba", "co", "di", "fu", "ge", "li", "mo", "na"], "yy": ["sch", "tze", "kra", "pfo", "wun", "gol", "ber", "ich"]}
@@ -347,6 +347,31 @@ def test_probabilities_sum_to_one():
     assert abs(sum(model.p(context + bytes([c])) for c in range(quality.CLASSES)) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("chunk", [4, 7, 1 << 20])
+def test_texts_in_chunks_have_all_their_ngrams(monkeypatch, chunk):
+    texts = pa.chunked_array([[b"some words", b"", None], [b"a text over many chunks " * 5, b"x", b"some words"]])
+    whole = [np.concatenate([*quality.grams_of(t.as_py() or b""), np.empty(0, quality.GRAM)]) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    got = [[] for _ in whole]
+    for rows, starts, grams in quality._some_texts(texts, [0, 1, 3, 4, 5]):
+        for row, part in zip(rows, np.split(grams, starts[1:]), strict=True):
+            got[row] += part.tolist()
+    assert got == [w.tolist() for w in whole]
+    assert quality._all_distinct(texts, [0, 3, 5]).tolist() == sorted({g for i in (0, 3, 5) for g in whole[i].tolist()})
+    assert not len(quality._all_distinct(texts, [1, 2]))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert common.scratch_dir(Session(spark_master="yarn", **{"spark.checkpoint.dir": "hdfs:/x"})) == "hdfs:/x"
+    assert common.scratch_dir(Session(spark_master="local[2]")).startswith("file:")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Session(spark_master="local-cluster[2,1,1024]"))
+
+
 def test_quality_keeps_prose_and_drops_noise(spark):
     rng = np.random.default_rng(17)
     good = [(i, prose("xx", 80, rng), "xx") for i in range(300)]
