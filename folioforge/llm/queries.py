@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, pii, quality, sharding
+from folioforge.llm import audio, centroids, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, pii, quality, sharding, spelling
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_exponion": centroids.op11_exponion,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 ORACLES = {
     "op3_jump_shards": sharding.SHARD_SQL,
     "op4_line_dedup": line_dedup.LINE_SQL,
     "op5_license_scan": licenses.LICENSE_SQL,
+    "op11_exponion": centroids.CENTROID_SQL,
+    "op12_spelling_variants": spelling.SPELLING_SQL,
 }
