@@ -69,7 +69,7 @@ def exponion(v: np.ndarray, ball: Ball, own: np.ndarray, upper: np.ndarray, lowe
         mine = rows[was == a]
         # with one centroid the radius is infinite
         within = np.searchsorted(ball.gaps[a], (2 * upper[mine] + ball.nearest_other[a]) * (1 + MARGIN), side="right")
-        mine, within = mine[by := np.argsort(-within, kind="stable")], -np.sort(-within)
+        mine, within = mine[np.argsort(-within, kind="stable")], -np.sort(-within)
         best = np.full(len(mine), np.iinfo(np.int64).max)
         second, at = best.copy(), np.full(len(mine), -1)
         for p, j in enumerate(ball.order[a]):
