@@ -92,6 +92,8 @@ def _pass(state: DataFrame, columns: list[str], dimensions: int, centroids: np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter_worker("centroids")
+        if not len(centroids):  # the table is empty
+            return
         ball = Ball(centroids)
         others = np.array([np.delete(moved, c).max(initial=0.0) for c in range(len(moved))]) if moved is not None else None
         for batch in batches:

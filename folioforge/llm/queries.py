@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioforge.llm import audio, centroids, decontaminate, language_id, licenses, line_dedup, ngram_join, packing, pii, quality, sharding, spelling
+from folioforge.llm import audio, centroids, decontaminate, fingerprints, language_id, licenses, line_dedup, ngram_join, packing, pii, quality, sharding, spelling
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_exponion": centroids.op11_exponion,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_weighted_sampling": fingerprints.op13_weighted_sampling,
 }
 
 ORACLES = {

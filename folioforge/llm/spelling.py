@@ -66,7 +66,7 @@ def blocks(vocabulary: DataFrame, block_words: int = BLOCK_WORDS, broadcast_rows
     """Each word in the blocks of both its halves, for partners of its length and one letter
     more (``l`` is its length) and for those one letter shorter (``l`` is theirs)."""
     size = F.char_length("word")
-    lengths = vocabulary.select("word", "n", F.explode(F.array(size, size - 1)).alias("l")).where("l > 0")
+    lengths = vocabulary.select("word", "n", F.explode(F.array(size, size - 1)).alias("l")).where("l >= 0")
     zone = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     middle = F.floor(F.col("l") / 2)
     rows = _keyed(lengths.select("*", F.inline(F.array(zone(F.lit(0), middle), zone(middle, F.col("l") + 1)))))
