@@ -170,15 +170,20 @@ def replace_last_mention(text: Column, value: Column, new: Column) -> Column:
     return F.when(mentions(text, value), F.concat(parts[0], new, parts[1])).otherwise(text)
 
 
-def concise(text: Column, accept: Callable[[Column], Column] = lambda s: F.lit(True)) -> Column:
-    """(length, number, sentence) of the shortest sentence fit for an affirmation; ties go to the first."""
+def shortest_fit(told: Column, accept: Callable[[Column], Column] = lambda s: F.lit(True)) -> Column:
+    """(length, number, sentence) of the shortest of ``told`` that is fit for an affirmation; ties go to the first."""
     fit = lambda s: (
         F.char_length(s).between(30, 165) & starts_upper(s) & quotes_balanced(s) & ~F.contains(s, F.lit("(")) & ends_sentence(s) & accept(s)
     )
-    rows = F.transform(sentences(text), lambda s, i: F.struct(F.char_length(s).alias("length"), i.alias("number"), s.alias("sentence")))
+    rows = F.transform(told, lambda s, i: F.struct(F.char_length(s).alias("length"), i.alias("number"), s.alias("sentence")))
     return F.array_min(F.filter(rows, lambda r: fit(r["sentence"])))
 
 
+def concise(text: Column, accept: Callable[[Column], Column] = lambda s: F.lit(True)) -> Column:
+    """(length, number, sentence) of the shortest sentence fit for an affirmation; ties go to the first."""
+    return shortest_fit(sentences(text), accept)
+
+
 def distinct_referents(values: Column, count: int, same: Callable[[Column, Column], Column] = same_referent) -> Column:
     """The first ``count`` values of which no two name the same; fewer if there aren't so many."""
     start = F.slice(values, 1, 0)

@@ -41,6 +41,9 @@ MEMBER_KINDS = {
 ANAPHORA = r"(?<!\w)ca\s+(?:și\s+)?(?:în\s+)?(?:celelalte|mai\s+înainte|de\s+obicei|alt[ăa]\s+dat[ăa])(?!\w)"
 PLURAL_SUBJECT = r"(?<!\w)(?:ei|ele)(?!\w)(?!\s*[,;.!?])"
 FREE_CLITICS = ["îl"]
+#: A noun that receives, and the ends of nouns with an article.
+DATIVE = r"\w{3,}(?:lui|ei|ii|lor)"
+ARTICLED_ENDING = r"ul|ua|ele|le|(?<![ei])a"
 OBJECT_CLITICS = {"l": ["a", "au", "o"], "le": ["a", "au"], "i": ["a", "au", "o"]}
 DEMONSTRATIVES_BEFORE = ["acest", "această", "acești", "aceste", "acel", "acea", "acei", "acele"]
 DEMONSTRATIVES_AFTER = ["acesta", "aceasta", "aceștia", "acestea", "acela", "aceea", "aceia", "acelea"]
