@@ -1,9 +1,13 @@
 """Operators over whole corpora against their sequential versions."""
 
 import random
+import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from folioforge.operators import digests, phrases, segments, spent
 from folioforge.operators import ledger as B
 
 
@@ -60,3 +64,93 @@ def test_buckets_hold_every_like_pair(spark, monkeypatch):
     got = {tuple(r) for r in B.like_pairs(df).collect()}
     want = {(a[1], b[1]) for a in distinct for b in distinct if a[1] < b[1] and 10 * len({*a[2]} & {*b[2]}) >= 7 * max(len(a[2]), len(b[2]))}
     assert got == want and want
+
+
+def plain_mentions(docs, terms):
+    terms = {t for t in terms if t and re.fullmatch(r"\w(.*\w)?", t, re.S)}
+    out = []
+    for i, text in docs:
+        words = list(re.finditer(r"\w+", text or ""))
+        for place, a in enumerate(words):
+            for b in reversed(words[place:]):
+                if text[a.start() : b.end()] in terms:
+                    out.append((i, place, text[a.start() : b.end()]))
+                    break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_mentions_take_the_longest_phrase(spark, broadcast_rows):
+    rng = random.Random(4)
+    terms = ["Ana", "Ana Maria", "Ana Maria Popa", "Maria", "a-b", "a", "Ana  Maria", "New York", "York", "Popa Ana", " x", "x.", "", None, "șarpe", "Ana", "\U0001f600"]
+    bits = ["Ana", "Maria", "Popa", "a", "b", "New", "York", "șarpe", "Anatol", "x"]
+    docs = [(i, "".join(rng.choice(bits) + rng.choice([" ", " ", " ", "-", "  ", ". "]) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(100, None), (101, ""), (None, "Ana"), (103, "Ana Maria Popa " * 500)]
+    df, dictionary = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "t string")
+    got = [tuple(r) for r in phrases.mentions(df, dictionary, "id", "text", broadcast_rows).collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(plain_mentions(docs[:-2], terms) + [(None, 0, "Ana")] + plain_mentions(docs[-1:], terms), key=key)
+
+
+def test_no_phrases(spark):
+    docs = spark.createDataFrame([(1, "Ana are mere")], "id long, text string")
+    assert phrases.mentions(docs, spark.createDataFrame([(None,), ("",)], "t string"), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize("splits", [1, 7, 40])
+def test_running_numbers_over_splits(spark, splits):
+    rng = random.Random(splits)
+    for share in (0.0, 0.04, 0.5):
+        rows = [(i, rng.choice([True, None]) if rng.random() < share else False, rng.choice([None, 0, 1, 2, 3]), "x") for i in range(150)]
+        df = spark.createDataFrame(rows, "i int, m boolean, v int, number string").drop("number").repartition(3)
+        want, marks, since, chapter, before = [], 0, None, 1, None
+        for n, (i, m, v, _) in enumerate(rows, 1):
+            marks, since = marks + bool(m), 0 if m else since if since is None else since + 1
+            chapter += before is not None and (v or 0) <= before
+            before = v or 0
+            want.append((i, n, marks, since, chapter))
+        got = segments.running(df, ["i"], F.col("m"), F.col("v"), splits)
+        assert sorted(tuple(r) for r in got.select("i", "number", "marks", "since", "chapter").collect()) == want
+    assert segments.running(df.limit(0), ["i"], F.col("m"), F.col("v"), splits).count() == 0
+
+
+@pytest.mark.parametrize("splits", [1, 9])
+def test_shortest_prefixes_over_splits(spark, splits):
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("aA" if i < 5 else "aBé") for i in range(rng.randint(2, 9))) for _ in range(300)] + ["abcd", "ABCDE", "abcdef", "abce", "Abc", None, ""]
+    low = {t.lower() for t in terms if t and len(t) >= 4}
+    want = {t: min((r for r in low if t.startswith(r)), key=len) for t in low}
+    got = segments.shortest_prefixes(spark.createDataFrame([(t,) for t in terms], "t string"), "t", splits=splits).collect()
+    assert {r["low"]: r["root"] for r in got} == want and len(got) == len(want)
+    assert segments.shortest_prefixes(spark.createDataFrame([("abc",)], "t string"), "t", splits=splits).count() == 0
+
+
+def test_digest_trees_find_all_differences(spark):
+    rng = random.Random(12)
+    old = [(rng.choice([None, rng.randint(-500, 500), 10**12 + rng.randint(0, 9), -(2**55)]), rng.choice(["a", None, ""]), rng.randint(0, 2)) for _ in range(400)]
+    new = [r for r in old if rng.random() > 0.03] + [(r[0], "z", r[2]) for r in old[:9]] + old[:5]
+    schema = "k long, side0 string, v int"
+    a, b = (spark.createDataFrame(t, schema) for t in (old, new))
+    x, y = Counter(old), Counter(new)
+    want = sorted([(*r, "old") for r in (x - y).elements()] + [(*r, "new") for r in (y - x).elements()], key=repr)
+    assert sorted((tuple(r) for r in digests.differences(a, b, "k", 8, 4).collect()), key=repr) == want
+    assert digests.differences(a, a, "k").count() == 0 and digests.differences(a, a.limit(0), "k").count() == len(old) and digests.differences(a.limit(0), a.limit(0), "k").count() == 0
+
+
+def test_few_differences_touch_few_nodes(spark):
+    rows = spark.range(0, 20_000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
+    changed = rows.withColumn("v", F.when(F.col("k").isin(5, 13_333), 9).otherwise(F.col("v")))
+    leaves, compared = digests.differing_leaves(digests.digest_tree(rows, "k", 8, 8), digests.digest_tree(changed, "k", 8, 8), 8)
+    assert sorted(r[0] for r in leaves.collect()) == [0, 13_333 // 8]
+    assert sum(compared) < 200  # of 2 x 2500 leaves and the nodes above them
+
+
+def test_running_unions(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1, 2, 4, 9]), rng.choice([None, rng.randint(0, 40), 2**40 + rng.randint(0, 9), 32_768 * rng.randint(1, 4)])) for _ in range(200)]
+    seen, want = set(), []
+    for p in (None, 1, 2, 4, 9):
+        own = {k for q, k in rows if q == p and k is not None}
+        want.append((p, len(own), len(own - seen), len(own | seen)))
+        seen |= own
+    got = spent.running_union(spark.createDataFrame(rows, "p int, k long"), F.col("p"), F.col("k")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0] or 0) == want
