@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
+from folioforge.operators.assignment import assign
 from folioforge.operators.digests import differences
+from folioforge.operators.judged import write_judged
 from folioforge.operators.phrases import mentions
 from folioforge.operators.segments import running, shortest_prefixes
 from folioforge.operators.spent import running_union
 from folioforge.plans.catalogue import _TOKENS, _query, _read, frequent_proper_terms
+from folioforge.tables import shared_dir
 
 _GAPS = r"regexp_extract_all(text, '([^\p{L}\p{M}\p{N}_]*)[\p{L}\p{M}\p{N}_]+', 1)"
 #: Terms as ``frequent_proper_terms`` finds them.
@@ -98,3 +103,55 @@ def running_customers(spark, sf_dir):
     """Customers of each month of orders, those without an order before, and all so far."""
     found = running_union(_read(spark, sf_dir, "orders"), F.trunc(F.col("o_orderdate").cast("date"), "month"), F.col("o_custkey"))
     return found.select(F.col("period").alias("month"), F.col("n_keys").alias("n_customers"), "n_new", "n_running")
+
+
+_SHAPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_SHAPE_SHARE, _ANSWER_CAP = 6, 3
+
+
+@_query(
+    f"""WITH seats AS (SELECT count(*) // {_SHAPE_SHARE} AS cap FROM orders),
+    items AS (
+        SELECT o_orderkey, md5('deal|' || o_orderkey) || '|' || o_orderkey AS p, dense_rank() OVER (ORDER BY o_custkey)::INT AS a,
+               list_transform([0, o_orderkey % 3 + 1, o_orderkey % 2 + 3], lambda d: ((list_position({_SHAPES}, o_orderpriority) - 1 + d) % 5 + 1)::INT) AS o FROM orders),
+    dealt AS (
+        SELECT list({{'o': o, 'a': a, 's': []::INT[], 'c': []::INT[], 'out': []::INT[]}} ORDER BY p) AS v, list(o_orderkey ORDER BY p) AS ids, max(a) AS m, any_value(cap) AS cap FROM items, seats),
+    passed AS (
+        SELECT ids, list_reduce(list_prepend({{'o': []::INT[], 'a': 0::INT, 's': [0, 0, 0, 0, 0]::INT[], 'c': list_transform(range(m), lambda x: 0::INT), 'out': []::INT[]}}, v), lambda acc, x:
+            {{'o': []::INT[], 'a': CASE WHEN acc.c[x.a] < {_ANSWER_CAP} THEN coalesce(list_filter(x.o, lambda k: acc.s[k] < cap)[1], 0) ELSE 0 END::INT,
+              's': list_transform(acc.s, lambda y, i: CASE WHEN acc.c[x.a] < {_ANSWER_CAP} AND i = coalesce(list_filter(x.o, lambda k: acc.s[k] < cap)[1], 0) THEN y + 1 ELSE y END::INT),
+              'c': CASE WHEN acc.c[x.a] < {_ANSWER_CAP} AND len(list_filter(x.o, lambda k: acc.s[k] < cap)) > 0 THEN list_concat(list_append(acc.c[:x.a - 1], acc.c[x.a] + 1), acc.c[x.a + 1:]) ELSE acc.c END::INT[],
+              'out': list_append(acc.out, CASE WHEN acc.c[x.a] < {_ANSWER_CAP} THEN coalesce(list_filter(x.o, lambda k: acc.s[k] < cap)[1], 0) ELSE 0 END::INT)}}) AS r FROM dealt)
+    SELECT unnest(ids) AS o_orderkey, {_SHAPES}[nullif(unnest(r.out), 0)] AS shape FROM passed"""
+)
+def capped_assignment(spark, sf_dir):
+    """Orders dealt to priorities in a drawn order: each takes the first of three that has a seat left, three orders a customer at most."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    seats = orders.count() // _SHAPE_SHARE
+    own = F.array_position(F.lit(_SHAPES), F.col("o_orderpriority")) - 1
+    steps = F.array(F.lit(0), F.col("o_orderkey") % 3 + 1, F.col("o_orderkey") % 2 + 3)
+    liked = F.transform(steps, lambda d: F.get(F.lit(_SHAPES), ((own + d) % 5).cast("int")))
+    drawn = F.concat_ws("|", X.hash_order("deal", F.col("o_orderkey")), "o_orderkey")
+    dealt = assign(orders.select(F.col("o_orderkey").alias("id"), drawn.alias("priority"), liked.alias("shapes"), F.col("o_custkey").alias("answer")), {s: seats for s in _SHAPES}, _ANSWER_CAP)
+    return dealt.select(F.col("id").alias("o_orderkey"), "shape")
+
+
+_RULES = {
+    "orders": {
+        "price": "o_totalprice IS NULL OR o_totalprice > 400000", "status": "o_orderstatus IS NULL OR o_orderstatus NOT IN ('O', 'F')", "priority A": "o_orderpriority = '1-URGENT'", "priority B": "o_orderpriority = '2-HIGH'",
+        "early": "o_orderdate < TIMESTAMP '1996-01-01 00:00:00'",
+    },
+    "lineitem": {"number": "l_linenumber < 1 OR l_linenumber > 6", "quantity": "l_quantity > 49", "flag A": "l_returnflag = 'A'", "flag N": "l_returnflag = 'N'", "net": "l_extendedprice * (1 - l_discount) < 1000"},
+}
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT '{table}' AS checked, '{name}' AS rule, count(*) FILTER (WHERE {rule}) AS n FROM {table}" for table, rules in _RULES.items() for name, rule in ({"rows": "true"} | rules).items()
+    )
+)
+def violations_while_writing(spark, sf_dir):
+    """How many rows of orders and lineitem break each rule, counted by the job that writes them."""
+    at = f"{shared_dir(spark)}/judged-{uuid.uuid4().hex}"
+    found = [(t, name, n) for t, rules in _RULES.items() for name, n in write_judged(_read(spark, sf_dir, t), f"{at}/{t}", {k: F.expr(v) for k, v in rules.items()}).items()]
+    return spark.createDataFrame(found, "checked string, rule string, n long")

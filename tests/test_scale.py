@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import digests, phrases, segments, spent
+from folioforge.operators import assignment, digests, judged, phrases, segments, spent
 from folioforge.operators import ledger as B
 
 
@@ -154,3 +154,30 @@ def test_running_unions(spark):
         seen |= own
     got = spent.running_union(spark.createDataFrame(rows, "p int, k long"), F.col("p"), F.col("k")).collect()
     assert sorted(map(tuple, got), key=lambda r: r[0] or 0) == want
+
+
+def plain_assignment(items, caps, answer_cap):
+    held, used, out = Counter(), Counter(), {}
+    for i, _, shapes, answer in sorted(items, key=lambda r: r[1]):
+        free = [s for s in shapes if held[s] < caps.get(s, 0)] if answer_cap and (answer is None or used[answer] < answer_cap) else []
+        out[i] = free[0] if free else None
+        if free:
+            held[free[0]] += 1
+            used[answer] += answer is not None
+    return out
+
+
+def test_assignment_equals_the_single_pass(spark):
+    rng = random.Random(5)
+    for caps, cap in (({"a": 20, "b": 7, "c": 0}, 3), ({"a": 500}, 2), ({"a": 9, "b": 9, "c": 9, "d": 9}, 1), ({"a": 3}, 0)):
+        items = [(i, f"{rng.randrange(10**6):06d}-{i}", rng.sample("abcdx", rng.randint(0, 4)), rng.choice([None, "hot", "hot", f"n{rng.randint(0, 20)}"])) for i in range(150)]
+        got = assignment.assign(spark.createDataFrame(items, "id long, priority string, shapes array<string>, answer string"), caps, cap).collect()
+        assert {r["id"]: r["shape"] for r in got} == plain_assignment(items, caps, cap)
+    assert assignment.assign(spark.createDataFrame([], "id long, priority string, shapes array<string>, answer string"), {"a": 1}, 1).count() == 0
+
+
+def test_judged_while_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "b"), (3, "c")], "k int, t string")
+    found = judged.write_judged(df, str(tmp_path / "t"), {"large": F.col("k") > 1, "c": F.col("t") == "c", "none": F.col("k") > 9})
+    assert found == {"rows": 3, "large": 2, "c": 1, "none": 0} and spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert judged.write_judged(df.limit(0), str(tmp_path / "t"), {"large": F.col("k") > 1}) == {"rows": 0, "large": 0}
