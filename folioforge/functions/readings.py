@@ -242,7 +242,7 @@ def clause_halves(statement: Column, holds: Callable[[Column], Column], *, linke
     """(far, at, left, right) of the first short clause that can be cut, cut nearest its middle
     where no function word is stranded."""
     clauses = F.transform(F.flatten(F.transform(X.sentences(statement), lambda s: F.split(s, "[,;]", -1))), lambda c: F.btrim(c, F.lit(L.TRIM)))
-    short = lambda c: F.char_length(c).between(12, 70) & ~F.regexp_like(c, F.lit('[.,;:"„”«»!?()]')) & F.size(split_words(c)).between(3, 10)
+    short = lambda c: F.char_length(c).between(12, 70) & ~F.regexp_like(c, F.lit('[.,;:"„”«»!?()]'))
 
     def cut(w: Column, k: Column) -> Column:
         left, right = F.slice(w, F.lit(1), k), F.slice(w, k + 1, F.size(w))
@@ -253,10 +253,8 @@ def clause_halves(statement: Column, holds: Callable[[Column], Column], *, linke
         return F.when(fit, F.struct(F.abs(2 * k - F.size(w)).alias("far"), k.alias("at"), texts[0].alias("left"), texts[1].alias("right")))
 
     def best(c: Column) -> Column:
-        w = split_words(c)
-        alone = ~_any_of(F.lower(F.get(w, F.lit(0))), linkers) & holds(c)
-        cuts = X.let(w, lambda v: F.array_min(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda k: cut(v, k)))))
-        return F.when(alone, cuts)
+        cuts = lambda v: F.array_min(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda k: cut(v, k)))
+        return X.let(split_words(c), lambda v: F.when(F.size(v).between(3, 10) & ~_any_of(F.lower(F.get(v, F.lit(0))), linkers) & holds(c), cuts(v)))
 
     return first_of(F.filter(clauses, short), best)
 

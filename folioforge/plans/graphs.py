@@ -24,6 +24,6 @@ from folioforge.plans.catalogue import _BALANCED, _SENTENCES, _query, _read, _wo
 def corpus_ledger(spark, sf_dir):
     """Which documents' statements a running ledger of their (lang, source) takes, by ascending id."""
     docs = _read(spark, sf_dir, "documents")
-    stated = docs.select("doc_id", "lang", "source", X.concise(F.col("text"))["sentence"].alias("s")).where("s is not null")
+    stated = docs.select("doc_id", "lang", "source", F.explode(F.array(X.concise(F.col("text"))["sentence"])).alias("s")).where("s is not null")  # read once
     found = ledger(stated.select(F.struct("lang", "source").alias("group"), F.col("doc_id").alias("id"), X.word_set(F.col("s")).alias("words")))
     return found.select("group.lang", "group.source", F.col("id").alias("doc_id"), "taken")

@@ -24,6 +24,11 @@ JOIN = rf"(?:\s*,\s*|{LAST})"
 HANGING, SUBORDINATE = ("the", "of", "and", "de", "la", "und", "der"), ("que", "with")
 
 
+def _once(docs, reading):
+    """(doc_id, found) where a reading finds something; a filter on a plain column would read each text twice."""
+    return docs.select("doc_id", F.explode(F.array(reading)).alias("found")).where("found is not null")
+
+
 def _held(text):
     """(open, points) of each sentence; the whole text's named nouns are worked out once."""
     one = lambda s, named: X.let(G.tokens(s), lambda t: F.struct(G.patient_missing(t, WORDS).alias("open"), G.points_outside(t, named, WORDS).alias("points")))
@@ -109,7 +114,7 @@ def told_of_target(spark, sf_dir):
     rows = F.transform(X.words(F.col("text")), lambda w, i: F.struct((-F.char_length(w)).alias("n"), i.alias("i"), w.alias("w")))
     name = F.array_min(F.filter(rows, lambda r: F.regexp_like(r["w"], F.lit(r"^\p{L}{5,}$"))))["w"]
     told = lambda n: F.struct(n.alias("name"), G.name_predicate(F.col("text"), n, lambda c: F.lit(True), oblique_name="", lex=WORDS).alias("clause"))
-    return docs.select("doc_id", X.let(name, told).alias("t")).select("doc_id", "t.name", "t.clause").where("clause is not null")
+    return _once(docs, X.let(name, told)).select("doc_id", "found.name", "found.clause").where("clause is not null")
 
 
 @_query(
@@ -127,7 +132,7 @@ def clause_halves(spark, sf_dir):
     """The first short clause of each document that can be cut, cut nearest its middle."""
     docs = _read(spark, sf_dir, "documents")
     half = G.clause_halves(F.col("text"), lambda c: F.lit(True), linkers=("and",), hanging=HANGING, subordinate=SUBORDINATE)
-    return docs.select("doc_id", half.alias("h")).where("h is not null").select("doc_id", F.col("h.left").alias("left_half"), F.col("h.right").alias("right_half"))
+    return _once(docs, half).select("doc_id", F.col("found.left").alias("left_half"), F.col("found.right").alias("right_half"))
 
 
 def _list_sql() -> str:
@@ -145,4 +150,4 @@ def ending_lists(spark, sf_dir):
     """The first sentence of each document that ends in a list of words of one kind, and the list."""
     docs = _read(spark, sf_dir, "documents")
     found = G.enumeration(F.col("text"), lambda s: F.lit(True), kinds=LISTS, join=JOIN, last=LAST, no_end=("of", "de"))
-    return docs.select("doc_id", found.alias("l")).where("l is not null").select("doc_id", F.col("l.stem").alias("stem"), F.array_join("l.members", "|").alias("members"))
+    return _once(docs, found).select("doc_id", "found.stem", F.array_join("found.members", "|").alias("members"))
