@@ -107,7 +107,7 @@ def _any_of(value: Column, words) -> Column:
 
 
 def blank_gap(token: Column) -> Column:
-    return X.strip(token["gap"]) == ""
+    return (token["gap"] == " ") | (X.strip(token["gap"]) == "")  # one blank is the usual case
 
 
 def pairs(tokens: Column) -> Column:
@@ -123,8 +123,11 @@ def patient_missing(tokens: Column, lex: Lexicon = ROMANIAN) -> Column:
 
     def kind(t: Column) -> Column:
         low = t["low"]
-        verbal = _any_of(low, lex.auxiliaries) | F.regexp_like(low, F.lit("(?:" + "|".join(lex.verb_endings) + ")$"))
-        ends = flag(F.regexp_like(low, F.lit(f"(?U)^(?:{lex.dative})$")), 4) + flag(F.regexp_like(low, F.lit(f"(?:{lex.articled})$")), 2) + flag(verbal, 1)
+        verbal = "|".join(lex.verb_endings)
+        flags = flag(F.regexp_like(low, F.lit(f"(?U)^(?:{lex.dative})$")), 4) + flag(F.regexp_like(low, F.lit(f"(?:{lex.articled})$")), 2)
+        flags += flag(_any_of(low, lex.auxiliaries) | F.regexp_like(low, F.lit(f"(?:{verbal})$")), 1)
+        none = ~F.regexp_like(low, F.lit(f"(?U)(?:{lex.dative}|{lex.articled}|{verbal})$")) & ~_any_of(low, lex.auxiliaries)
+        ends = F.when(none, 0).otherwise(flags)  # most words have no such end, and one pattern says so
         known = F.create_map(*[F.lit(x) for i, w in enumerate(lex.known) for x in (w, i)])
         word = F.coalesce(F.try_element_at(known, low), ends + len(lex.known))
         gap = F.when(t["gap"] == "-", _HYPHEN).when(blank_gap(t), _BLANK).otherwise(_OTHER)

@@ -211,20 +211,24 @@ def turn_interval_concat(spark, sf_dir):
     return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("passage"))
 
 
-SELECTIONS = ["1 Samuel 1,3-5", "2sam 2, 7-9,8", "Rut 1;1 sam 4", "ioan 3 - 5"]
+_NAMES_OF_BOOKS = {"1 Samuel": "1 Samuel", "2sam": "2 Samuel", "Rut": "Rut", "ioan": "Ioan", "1 SAM": "1 Samuel", "2 samuel": "2 Samuel"}
 
 
 @_query(
-    r"""WITH raw AS (SELECT id, unnest(string_split(replace(line, ';', chr(10)), chr(10))) AS part FROM (VALUES """
-    + ", ".join(f"({i}, '{s}')" for i, s in enumerate(SELECTIONS))
-    + r""") v(id, line)),
-    named AS (SELECT id, regexp_extract(trim(part), '^(.+?)\s+(\d+(?:\s*[-,]\s*\d+)*)$', 1) AS book, unnest(string_split(regexp_extract(trim(part), '^(.+?)\s+(\d+(?:\s*[-,]\s*\d+)*)$', 2), ',')) AS span FROM raw),
-    ends AS (SELECT id, CASE WHEN lower(book) IN ('1 samuel', '1samuel', '1 sam', '1sam') THEN '1 Samuel' WHEN lower(book) IN ('2 samuel', '2samuel', '2 sam', '2sam') THEN '2 Samuel' WHEN lower(book) = 'rut' THEN 'Rut' ELSE 'Ioan' END AS book,
-             regexp_extract(span, '(\d+)', 1)::INT AS a, coalesce(nullif(regexp_extract(span, '-\s*(\d+)', 1), ''), regexp_extract(span, '(\d+)', 1))::INT AS b FROM named)
-    SELECT DISTINCT id::INT AS id, book, unnest(range(a, b + 1))::INT AS chapter FROM ends"""
+    f"""WITH d AS (SELECT doc_id, coalesce(n_chars, 0) AS n FROM documents),
+    r AS (
+        SELECT doc_id, {list(_NAMES_OF_BOOKS.values())}[(doc_id % 6 + 1)::INT] AS book, unnest(range(n % 40 + 1, n % 40 + doc_id % 4 + 2)) AS chapter FROM d
+        UNION SELECT doc_id, {list(_NAMES_OF_BOOKS.values())}[(doc_id % 6 + 1)::INT], n % 7 + 1 FROM d
+        UNION SELECT doc_id, 'Rut', n % 3 + 1 FROM d WHERE doc_id % 3 = 0)
+    SELECT doc_id AS id, book, chapter::INT AS chapter FROM r"""
 )
 def selection_expand(spark, sf_dir):
-    return selection_frame(spark.createDataFrame(list(enumerate(SELECTIONS)), "id int, selection string"))
+    """Selections as users write them, one for each document and made of its id and length, as chapters."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n"))
+    name = F.get(F.lit(list(_NAMES_OF_BOOKS)), (F.col("doc_id") % 6).cast("int"))
+    first, last = F.col("n") % 40 + 1, F.col("n") % 40 + 1 + F.col("doc_id") % 4
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(";rut "), F.col("n") % 3 + 1)).otherwise("")
+    return selection_frame(docs.select(F.col("doc_id").alias("id"), F.concat(name, F.lit(" "), first, F.lit(" - "), last, F.lit(", "), F.col("n") % 7 + 1, more).alias("selection")))
 
 
 # ---------------------------------------------------------------- windows and orders
