@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from folioforge.functions import text as X
+from folioforge.tables import settled
 
 MARKDOWN_GLOB = "*samuel-reference-text.md"
 #: A verse begins with its number, before a letter or a mark that opens speech.
@@ -50,6 +51,40 @@ def read_markdown(spark: SparkSession, path: str, glob: str = MARKDOWN_GLOB) ->
     return counted.where("text <> ''").select("book", "chapter", "verse", "text", "pos")
 
 
+def read_long_markdown(spark: SparkSession, path: str, glob: str = MARKDOWN_GLOB) -> DataFrame:
+    """verses(book, chapter, verse, text) as ``read_markdown`` gives them, of files of any length.
+
+    Files are read in blocks of lines, and what a line needs to know of those before it (the
+    last blank one, the verse it goes on with, the chapters opened so far) comes from scans
+    over the blocks. A number that ends a line begins no verse here. Files without a verse
+    give none.
+    """
+    from folioforge.operators.segments import running
+
+    lines = spark.read.option("pathGlobFilter", glob).text(path).select(
+        F.regexp_extract(F.lower("_metadata.file_name"), r"^([12])samuel-reference-text\.md$", 1).alias("book"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value"
+    )
+    lines = settled(lines.where("book <> ''"), "lines")
+    full = F.regexp_like("value", F.lit(r"(?U)\S"))
+    titles = lines.groupBy("book").agg(F.min(F.struct("block", "row")).alias("title"))  # a row a file
+    title = F.struct("block", "row") == F.col("title")
+    placed = running(lines.join(F.broadcast(titles), "book").withColumn("gap", ~full | title), ["book", "block", "row"], F.col("gap"), F.lit(0))
+    body = placed.where(full & (F.col("since") > 1))  # a heading is the first line after a gap
+    texts, numbers = F.split("value", MARKER, -1), F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("value", F.lit(MARKER), F.lit(1)))
+    parts = body.select("book", "number", F.posexplode(F.arrays_zip(numbers.alias("verse"), texts.alias("text"))).alias("part", "p"))
+    parts = parts.select("book", F.col("number").alias("line"), "part", F.col("p.verse").cast("int").alias("verse"), F.col("p.text").alias("text"))
+    told = running(parts, ["book", "line", "part"], F.col("verse").isNotNull(), F.lit(0))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", "text"))), lambda t: t["text"]), "\n")  # one verse's
+    verses = told.groupBy("book", F.col("marks").alias("at")).agg(F.max("verse").alias("verse"), X.squeeze(joined).alias("text")).where("verse is not null")
+    verses = settled(verses, "verses")
+    begins = verses.where("text <> ''").groupBy("book").agg(F.min("at").alias("begin"))
+    opened = verses.join(F.broadcast(begins), "book").withColumn("opens", (F.col("verse") == 1) & (F.col("at") > F.col("begin")))
+    counted = settled(running(opened, ["book", "at"], F.col("opens"), F.lit(0)), "chapters")
+    starts = counted.groupBy("book").agg(F.min(F.col("marks") - F.col("opens").cast("long")).alias("start"))
+    chapter = (1 + F.col("marks") - F.col("start")).cast("int")
+    return counted.join(F.broadcast(starts), "book").where("text <> ''").select(F.concat("book", F.lit(" Samuel")).alias("book"), chapter.alias("chapter"), "verse", "text")
+
+
 def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
     """(verses, facts, translation) of a JSON corpus; without ``books`` the document itself is the books."""
     doc = spark.read.text(path, wholetext=True)
