@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import text as X
 from folioforge.functions.readings import tokens
-from folioforge.tables import BROADCAST_ROWS, settled
+from folioforge.tables import settled
 
 #: First letters that are looked for before the trie, if there are no more than these.
 MOST_LETTERS = 500
@@ -38,12 +38,12 @@ def _trie(phrases: DataFrame, depth: int) -> list[DataFrame]:
     return [nodes.where(F.col("n") >= k).groupBy(F.col(f"h{k}").alias("node")).agg(ends(k).alias("phrase"), F.max((F.col("n") > k).cast("int")).alias("deeper")) for k in range(1, depth + 1)]
 
 
-def mentions(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def mentions(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, place, phrase): the longest of ``phrases`` (one column) that begins at each token of each text.
 
     Places count from 0. Phrases must begin and end with a word character; others, null and
-    empty ones are never found. Levels of the trie up to ``broadcast_rows`` nodes are sent
-    along; larger ones are joined by a shuffle of the tokens that begin like a phrase.
+    empty ones are never found. Whether a level of the trie is sent along, or the tokens that
+    begin like a phrase are shuffled to it, is left to Spark, which knows its size.
     """
     whole = phrases.select(F.col(phrases.columns[0]).alias("phrase")).where(F.regexp_like("phrase", F.lit(r"(?Us)^\w(?:.*\w)?$"))).distinct()
     whole = settled(whole, "dictionary")
@@ -60,11 +60,13 @@ def mentions(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str, br
     found = docs.select(F.col(id_col).alias("id"), F.explode(X.let(tokens(F.col(text_col)), at)).alias("p")).select("id", "p.*")
     for k, level in enumerate(_trie(whole, depth), 1):
         level = settled(level.select(F.col("node").alias(f"h{k}"), F.col("phrase").alias(f"p{k}"), F.col("deeper").alias(f"d{k}")), "trie")
-        level = F.broadcast(level) if level.limit(broadcast_rows + 1).count() <= broadcast_rows else level
         if k == 1:
             found = found.join(level, "h1")
-        else:  # a null key meets no node
-            on = F.when(F.coalesce(F.col(f"d{k - 1}"), F.lit(0)) == 1, F.col(f"h{k}"))
-            found = found.withColumn(f"h{k}", on).join(level, f"h{k}", "left")
+            continue
+        on = (F.coalesce(F.col(f"d{k - 1}"), F.lit(0)) == 1) & F.col(f"h{k}").isNotNull()
+        # paths that end here are spread over the join's partitions, where null keys would meet in one
+        spread = F.when(on, F.col(f"h{k}")).otherwise(F.xxhash64("id", "place"))
+        found = found.withColumn("on", on).withColumn(f"h{k}", spread).join(level, f"h{k}", "left")
+        found = found.withColumns({c: F.when(F.col("on"), F.col(c)) for c in (f"p{k}", f"d{k}")}).drop("on")
     longest = reduce(lambda best, k: F.coalesce(F.col(f"p{k}"), best), range(2, depth + 1), F.col("p1"))
     return found.select("id", "place", longest.alias("phrase")).where("phrase is not null")

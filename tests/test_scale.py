@@ -79,14 +79,16 @@ def plain_mentions(docs, terms):
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_mentions_take_the_longest_phrase(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_mentions_take_the_longest_phrase(spark, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     rng = random.Random(4)
     terms = ["Ana", "Ana Maria", "Ana Maria Popa", "Maria", "a-b", "a", "Ana  Maria", "New York", "York", "Popa Ana", " x", "x.", "", None, "șarpe", "Ana", "\U0001f600"]
     bits = ["Ana", "Maria", "Popa", "a", "b", "New", "York", "șarpe", "Anatol", "x"]
     docs = [(i, "".join(rng.choice(bits) + rng.choice([" ", " ", " ", "-", "  ", ". "]) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(100, None), (101, ""), (None, "Ana"), (103, "Ana Maria Popa " * 500)]
     df, dictionary = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(t,) for t in terms], "t string")
-    got = [tuple(r) for r in phrases.mentions(df, dictionary, "id", "text", broadcast_rows).collect()]
+    got = [tuple(r) for r in phrases.mentions(df, dictionary, "id", "text").collect()]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])
     assert sorted(got, key=key) == sorted(plain_mentions(docs[:-2], terms) + [(None, 0, "Ana")] + plain_mentions(docs[-1:], terms), key=key)
 
