@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 
 from folioforge.functions import text as X
 from folioforge.operators.admission import admit
+from folioforge.operators.ordering import drawn_places
 from folioforge.operators.selection import selection_frame
+from folioforge.tables import settled, small
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,16 +242,16 @@ def selection_expand(spark, sf_dir):
 )
 def round_robin(spark, sf_dir):
     """Sorted by round, then slot, this deals documents out one from each (lang, source) in turn."""
-    order = W.partitionBy("lang", "source").orderBy(X.hash_order(str(SEED), "1", F.col("doc_id")), "doc_id")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.select("doc_id", "lang", "source", F.row_number().over(order).alias("round"), X.hash_order(str(SEED), "1", F.col("lang"), F.col("source")).alias("slot"))
+    placed = drawn_places(docs, ["lang", "source"], X.hash_order(str(SEED), "1", F.col("doc_id")), "doc_id", "round")
+    return placed.select("doc_id", "lang", "source", "round", X.hash_order(str(SEED), "1", F.col("lang"), F.col("source")).alias("slot"))
 
 
 @_query(f"SELECT doc_id, ['A', 'B', 'C'][(row_number() OVER (PARTITION BY lang, source ORDER BY md5('{SEED}|letters|' || doc_id), doc_id) % 3 + 1)::INT] AS letter FROM documents")
 def balanced_letters(spark, sf_dir):
-    order = W.partitionBy("lang", "source").orderBy(X.hash_order(str(SEED), "letters", F.col("doc_id")), "doc_id")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return docs.select("doc_id", F.element_at(F.array(*map(F.lit, "ABC")), F.row_number().over(order) % 3 + 1).alias("letter"))
+    placed = drawn_places(docs, ["lang", "source"], X.hash_order(str(SEED), "letters", F.col("doc_id")), "doc_id")
+    return placed.select("doc_id", F.element_at(F.array(*map(F.lit, "ABC")), F.col("place") % 3 + 1).alias("letter"))
 
 
 @_query(
@@ -417,7 +419,7 @@ def containment_ambiguity(spark, sf_dir):
     """Whether some sentence holds 0.7 of an item's words. Items are a dimension: each sentence
     meets only those that one of its words is a rare word of."""
     items = _read(spark, sf_dir, "benchmark").select("item_id", X.word_set(F.col("text")).alias("w"))
-    prefix = _prefix_words(items, "item_id", lambda n: F.ceil(n * 7 / 10))
+    prefix = small(settled(_prefix_words(items, "item_id", lambda n: F.ceil(n * 7 / 10)), "prefix-words"))
     docs = _read(spark, sf_dir, "documents")
     told = docs.select(F.explode(X.sentences(F.col("text"))).alias("s")).select(X.word_set(F.col("s")).alias("r"))
     met = told.select("r", F.explode("r").alias("word")).join(prefix, "word")

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import assignment, digests, judged, phrases, segments, spent
+from folioforge.operators import assignment, digests, judged, ordering, phrases, segments, spent
 from folioforge.operators import ledger as B
 
 
@@ -183,3 +183,13 @@ def test_judged_while_written(spark, tmp_path):
     found = judged.write_judged(df, str(tmp_path / "t"), {"large": F.col("k") > 1, "c": F.col("t") == "c", "none": F.col("k") > 9})
     assert found == {"rows": 3, "large": 2, "c": 1, "none": 0} and spark.read.parquet(str(tmp_path / "t")).count() == 3
     assert judged.write_judged(df.limit(0), str(tmp_path / "t"), {"large": F.col("k") > 1}) == {"rows": 0, "large": 0}
+
+
+def test_drawn_places_equal_one_sort(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", None]), f"{rng.randrange(5000):08x}"[::-1]) for i in range(400)]
+    got = ordering.drawn_places(spark.createDataFrame(rows, "i int, g string, d string"), ["g"], F.col("d"), "i").collect()
+    want = {}
+    for g in ("a", None):
+        want |= {i: n for n, (i, _, _) in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0])), 1)}
+    assert {r["i"]: r["place"] for r in got} == want
