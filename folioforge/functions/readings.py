@@ -262,26 +262,62 @@ def clause_halves(statement: Column, holds: Callable[[Column], Column], *, linke
     return first_of(F.filter(clauses, short), best)
 
 
-def list_patterns(kinds: dict[str, str], join: str = _JOIN, last: str = _AND) -> list[str]:
-    """For each kind the pattern of a sentence that ends in a list of that kind, the longest that does; group 1 is the head, 2 the list."""
-    return [rf"(?Us)^(.*?\S)\s+((?:{p})(?:{join}(?:{p}))*?{last}(?:{p}))[{re.escape(L.TRIM)}]*$" for p in kinds.values()]
+def list_pattern(kind: str, join: str = _JOIN, last: str = _AND) -> str:
+    """What a sentence that ends in a list of a kind is as one pattern: group 1 is the head, group 2 the longest list that ends it."""
+    return rf"(?s)^(.*?\S)\s+((?:{kind})(?:{join}(?:{kind}))*?{last}(?:{kind}))[{re.escape(L.TRIM)}]*$"
 
 
-def enumeration(statement: Column, holds: Callable[[Column], Column], *, kinds: dict[str, str] = L.MEMBER_KINDS, join: str = _JOIN, last: str = _AND, lex: Lexicon = ROMANIAN, no_end=tuple({*L.OBLIQUE_MARKERS, *L.PREPOSITIONS})) -> Column:
+def ending_list(sentence: Column, kind: str, join: str = _JOIN, last: str = _AND) -> Column:
+    """(head, members) as ``list_pattern`` reads them, or null: from the right, part by part.
+
+    A pattern would go back once for each member of a list and a long one take its stack. Here
+    the sentence is cut at its joins; a scan from the end counts the parts that are members as
+    a whole; the list begins in the part before them, with what of it is a member, or else at
+    the first of them that a blank comes before.
+    """
+    end = F.rtrim(sentence, F.lit(L.TRIM))
+
+    def read(v: Column) -> Column:
+        parts, joins = v["parts"], v["joins"]
+        n = F.size(parts)
+        member = lambda x: F.regexp_like(x, F.lit(f"(?U)^(?:{kind})$"))
+        open_ = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+        whole = F.aggregate(F.reverse(parts), open_, lambda s, x: F.struct((s["n"] + (s["on"] & member(x)).cast("int")).alias("n"), (s["on"] & member(x)).alias("on")), lambda s: s["n"])
+        rest = rf"(?Us)^.*?\S\s+({kind})$"
+
+        def begin(k: Column, m: Column) -> Column:
+            inside = F.when(F.regexp_like(F.get(parts, k), F.lit(rest)), F.regexp_extract(F.get(parts, k), rest, 1))
+            at_start = F.when((k > 0) & (k >= n - m) & F.regexp_like(F.get(joins, k - 1), F.lit(r"(?U)\s$")), F.get(parts, k))
+            first = F.coalesce(at_start, inside)
+            return F.when(first.isNotNull(), F.struct(k.alias("k"), first.alias("first")))
+
+        def members(f: Column) -> Column:
+            after = F.slice(parts, f["k"] + 2, n)
+            length = F.aggregate(F.concat(after, F.slice(joins, f["k"] + 1, n)), F.char_length(f["first"]), lambda s, x: s + F.char_length(x))
+            head = F.regexp_replace(F.left(v["text"], F.char_length(v["text"]) - length), r"(?U)\s+$", "")
+            return F.when(f.isNotNull(), F.struct(head.alias("head"), F.concat(F.array(f["first"]), after).alias("members")))
+
+        listed = (n >= 2) & F.regexp_like(F.get(joins, n - 2), F.lit(f"(?U)^{last}$"))
+        found = X.let(whole, lambda m: F.when(m > 0, first_of(F.sequence(F.greatest(n - 1 - m, F.lit(0)), n - 2), lambda k: begin(k, m))))
+        return F.when(listed, X.let(found, members))
+
+    cut = F.struct(end.alias("text"), F.split(end, f"(?U){join}", -1).alias("parts"), F.regexp_extract_all(end, F.lit(f"(?U)({join})"), F.lit(1)).alias("joins"))
+    return X.let(cut, read)
+
+
+def enumeration(statement: Column, holds: Callable[[Column], Column], *, kinds: dict[str, str] = L.MEMBER_KINDS, join: str = _JOIN, last: str = _AND, no_end=tuple({*L.OBLIQUE_MARKERS, *L.PREPOSITIONS})) -> Column:
     """(stem, members) of the first coordinated list of one kind that ends a sentence without quotes."""
 
     def read(s: Column) -> Column:
-        plain = ~F.regexp_like(s, F.lit('["„”«»]')) & holds(s)
-        return F.when(plain, reduce(lambda found, p: F.coalesce(found, one(s, p)), patterns[1:], one(s, patterns[0])))
+        plain = ~F.regexp_like(s, F.lit('["„”«»]')) & F.regexp_like(s, F.lit(f"(?U){last}")) & holds(s)
+        return F.when(plain, reduce(lambda found, p: F.coalesce(found, X.let(ending_list(s, p, join, last), stem)), list(kinds.values())[1:], X.let(ending_list(s, next(iter(kinds.values())), join, last), stem)))
 
-    def one(s: Column, pattern: str) -> Column:
-        head = F.rtrim(F.regexp_extract(s, pattern, 1), F.lit(" ,"))
-        members = F.split(F.regexp_extract(s, pattern, 2), f"(?U){join}", -1)
-        whole = F.regexp_like(s, F.lit(pattern)) & (F.size(F.array_distinct(members)) == F.size(members)) & F.char_length(head).between(12, L.STEM_CHARS[1]) & holds(head)
+    def stem(found: Column) -> Column:
+        head, members = F.rtrim(found["head"], F.lit(" ,")), found["members"]
+        whole = found.isNotNull() & (F.size(F.array_distinct(members)) == F.size(members)) & F.char_length(head).between(12, L.STEM_CHARS[1]) & holds(head)
         whole &= X.let(tokens(head), lambda w: ~F.coalesce(_any_of(F.get(w, F.size(w) - 1)["low"], no_end), F.lit(False)))
         return F.when(whole, F.struct(F.concat(head, F.lit(f" {L.BLANK}")).alias("stem"), members.alias("members")))
 
-    patterns = list_patterns(kinds, join, last)
     return first_of(X.sentences(statement), read)
 
 

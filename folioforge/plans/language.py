@@ -18,7 +18,7 @@ WORDS = G.Lexicon(
     auxiliaries=("is", "ist", "est"), verb_endings=("ed", "ing", "ar", "er"), before_noun=("the", "un", "el"), after_noun=("und", "que"), no_noun=("of", "de", "la", "die", "by"), names=("License",),
     edges=("the", "of", "and", "de", "la", "und", "der"), oblique=("by", "de", "der"),
 )
-LISTS = {"short": r"\p{L}{2,3}", "long": r"\p{L}{4,9}"}
+LISTS = {"short": r"\p{L}{4,5}", "long": r"\p{L}{6,9}"}
 LAST = r"\s+(?:and|und|et|y)\s+"
 JOIN = rf"(?:\s*,\s*|{LAST})"
 HANGING, SUBORDINATE = ("the", "of", "and", "de", "la", "und", "der"), ("que", "with")
@@ -136,7 +136,7 @@ def clause_halves(spark, sf_dir):
 
 
 def _list_sql() -> str:
-    read = ", ".join(f"regexp_extract(sentence, '{p.replace('(?Us)', '(?s)').replace(chr(39), chr(39) * 2)}', ['head', 'list']) AS r{i}" for i, p in enumerate(G.list_patterns(LISTS, JOIN, LAST)))
+    read = ", ".join(f"regexp_extract(sentence, '{G.list_pattern(p, JOIN, LAST).replace(chr(39), chr(39) * 2)}', ['head', 'list']) AS r{i}" for i, p in enumerate(LISTS.values()))
     one = lambda i: f"SELECT doc_id, sentence_no, {i} AS kind, rtrim(r{i}.head, ' ,') AS head, regexp_split_to_array(r{i}.list, '{JOIN}') AS members FROM read WHERE r{i}.list <> ''"
     return rf"""WITH {_SENTENCES}, read AS (SELECT doc_id, sentence_no, {read} FROM sentences WHERE NOT regexp_matches(sentence, '["„”«»]')),
     found AS ({" UNION ALL ".join(one(i) for i in range(len(LISTS)))})

@@ -1,6 +1,7 @@
 """Readings as columns against the plain versions, on cases of every kind and on drawn sentences."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,21 @@ def test_an_automaton_is_its_rule(spark):
     df = spark.createDataFrame(list(enumerate(lists)), "i int, c array<int>")
     want = [any(x == y for x, y in zip(v, v[2:], strict=False)) for v in lists]
     assert [r[1] for r in df.select("i", a.run(F.col("c"))).orderBy("i").collect()] == want
+
+
+def test_lists_are_read_from_the_right(spark):
+    """Against the pattern that says what a list is, on drawn sentences; a list of very many members takes no stack."""
+    rng = random.Random(6)
+    kind, join, last = "aa|b c|c", r"(?:\s*,\s*|\s+and\s+)", r"\s+and\s+"
+    texts = ["".join(rng.choice(["aa", "b c", "c", "x", "aa c"]) + rng.choice([" ", ", ", ",", " and ", " , ", "  and ", ". "]) for _ in range(rng.randint(1, 7))).strip() + rng.choice(["", ".", " !"]) for _ in range(600)]
+    texts += ["x aa and c", "aa and c", "x,aa and c", "x, aa and c", "x b c and c", "x c,c and c", "and", "", "x and c"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", G.ending_list(F.col("s"), kind, join, last).alias("l")).orderBy("i").collect()
+    found = 0
+    for r, t in zip(got, texts, strict=True):
+        m = re.search(G.list_pattern(kind, join, last), t)
+        assert (r["l"] and (r["l"]["head"], ", ".join(r["l"]["members"]))) == (m and (m[1], ", ".join(re.split(join, m[2])))), t
+        found += m is not None
+    assert found > 40
+    long = "x " + "aa, " * 200_000 + "aa and c."
+    n = spark.createDataFrame([(long,)], "s string").select(F.size(G.ending_list(F.col("s"), kind, join, last)["members"])).first()[0]
+    assert n == 200_002
