@@ -1,14 +1,28 @@
-"""Every question a fact could become, worked out once for all papers, in column expressions."""
+"""Every question a fact could become, worked out once for all papers.
+
+``with_candidates`` reads statements in Arrow batches and is what papers use. ``candidate_columns``
+gives the same columns by expressions alone, for facts that are read by themselves: under the
+joins of a paper its expressions take Spark's optimizer minutes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge import lexicon as L
 from folioforge.functions import readings as G
+from folioforge.functions import romanian as R
 from folioforge.functions import text as X
 
+_STEM = "struct<stem:string,segment:string,answer:string,tail:string>"
+SCHEMA = (
+    "concise string, concise_named string, blanks array<{s}>, place {s}, numeral {s}, wh {s}, named string, left string, right string, "
+    "list_stem string, list_members array<string>, rivals array<array<string>>, numerals array<string>, places array<string>"
+).format(s=_STEM)
 NAMES = ["concise", "concise_named", "blanks", "place", "numeral", "wh", "named", "left", "right", "list_stem", "list_members", "rivals", "numerals", "places"]
 
 
@@ -17,7 +31,7 @@ def wh_question(clause: Column, name: Column) -> Column:
     return F.when(name.isin(L.PERSONAL) & clause.isNotNull(), F.struct(stem.alias("stem"), clause.alias("segment"), name.alias("answer"), F.lit("").alias("tail")))
 
 
-def with_candidates(facts: DataFrame) -> DataFrame:
+def candidate_columns(facts: DataFrame) -> DataFrame:
     """``facts`` with one column for each shape; null where the fact doesn't lend itself to it.
 
     What the whole statement names, and which of its sentences stand alone, are worked out
@@ -39,3 +53,33 @@ def with_candidates(facts: DataFrame) -> DataFrame:
         G.numeral_stem(told).alias("numeral"), wh_question(F.col("_quoted"), name).alias("wh"), G.name_predicate(statement, name, holds).alias("named"), F.col("_halves.left").alias("left"), F.col("_halves.right").alias("right"),
         F.col("_list.stem").alias("list_stem"), F.col("_list.members").alias("list_members"), G.rival_words(statement, name).alias("rivals"), G.numerals_in(statement).alias("numerals"), G.places_in(statement).alias("places"),
     )
+
+
+# ---------------------------------------------------------------- in batches
+
+
+def _stem(s: R.Stem | None) -> dict | None:
+    return s and {"stem": s.stem, "segment": s.segment, "answer": s.answer, "tail": s.tail}
+
+
+def candidates_of(statement: str, name: str) -> list:
+    left, right = R.clause_halves(statement) or (None, None)
+    stem, members = R.enumeration(statement) or (None, None)
+    return [
+        R.concise(statement), R.concise(statement, name), [_stem(b) for b in R.completions(statement, name)], _stem(R.place_stem(statement)),
+        _stem(R.numeral_stem(statement)), _stem(R.wh_question(statement, name)), R.name_predicate(statement, name), left, right, stem, members,
+        [sorted(w) for w in R.rival_words(statement, name)], R.numerals_in(statement), R.places_in(statement),
+    ]
+
+
+def with_candidates(facts: DataFrame) -> DataFrame:
+    """``facts`` with one column for each shape; null where the fact doesn't lend itself to it."""
+    columns = facts.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in facts.schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [candidates_of(s, n) for s, n in zip(b["statement"], b["object"], strict=True)]
+            yield pd.concat([b.reset_index(drop=True), pd.DataFrame(made, columns=NAMES)], axis=1)
+
+    return facts.select(*columns).mapInPandas(run, f"{fields}, {SCHEMA}")

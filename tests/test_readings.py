@@ -9,7 +9,7 @@ from folioforge import lexicon as L
 from folioforge.functions import readings as G
 from folioforge.functions import romanian as R
 from folioforge.functions.automaton import Automaton
-from folioforge.operators.candidates import NAMES, with_candidates
+from folioforge.operators.candidates import NAMES, candidate_columns, candidates_of
 
 LEANING = [
     "Cine i-a povestit totul?", "L-au chemat, dar nu l-au aflat.", "Ana o privea mereu.", "L-a dus în Casa Domnului, la Silo.", "Atunci l-a chemat la masă.", "Soldatul îl privea mirat.",
@@ -54,13 +54,8 @@ def test_self_contained_agrees(spark):
 
 
 def plain_candidates(statement, name):
-    stem = lambda s: s and (s.stem, s.segment, s.answer, s.tail)
-    left, right = R.clause_halves(statement) or (None, None)
-    listed, members = R.enumeration(statement) or (None, None)
-    return [
-        R.concise(statement), R.concise(statement, name), [stem(b) for b in R.completions(statement, name)], stem(R.place_stem(statement)), stem(R.numeral_stem(statement)), stem(R.wh_question(statement, name)),
-        R.name_predicate(statement, name), left, right, listed, members, [sorted(w) for w in R.rival_words(statement, name)], R.numerals_in(statement), R.places_in(statement),
-    ]
+    tupled = lambda v: tuple(v.values()) if isinstance(v, dict) else [tupled(x) for x in v] if isinstance(v, list) else v
+    return [tupled(v) for v in candidates_of(statement, name)]
 
 
 def test_candidates_agree_with_the_plain_readings(spark):
@@ -68,13 +63,13 @@ def test_candidates_agree_with_the_plain_readings(spark):
     rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(facts)], "i int, statement string, object string")
     tupled = lambda v: tuple(v) if hasattr(v, "asDict") else [tupled(x) for x in v] if isinstance(v, list) else v
     made = 0
-    for r in with_candidates(rows).orderBy("i").collect():
+    for r in candidate_columns(rows).orderBy("i").collect():
         want = plain_candidates(*facts[r["i"]])
         got = [tupled(r[n]) for n in NAMES]
         assert got == want, facts[r["i"]]
         made += sum(bool(v) for v in got)
     assert made > 500
-    by = {r["statement"]: r for r in with_candidates(rows.limit(len(FACTS))).collect()}
+    by = {r["statement"]: r for r in candidate_columns(rows.limit(len(FACTS))).collect()}
     assert by[FACTS[0][0]]["named"] == "și-a ales trei mii de oameni din Israel" and by[FACTS[1][0]]["named"] is None
     assert by[FACTS[4][0]]["wh"]["segment"] == 'a răspuns: „Iată, căci ai chemat!"' and by[FACTS[5][0]]["wh"]["segment"] == 'a zis: „Vino!"' and by[FACTS[6][0]]["wh"] is None
 
