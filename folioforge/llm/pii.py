@@ -5,10 +5,10 @@ recall in mind. Three kinds of evidence that don't depend on one another vote on
 candidate: its form once written out plainly, the words before it, and a second generator
 or measure of its kind. Two votes make a weak label, so that obfuscated addresses, local
 numbers, misread cards and secrets can be positive although no base rule holds. Trees are
-fitted on a table of distinct feature rows of all candidates, each also with one kind of
-evidence masked, on the driver; each kind's threshold is calibrated on the documents of
-another fold. The trees become a column expression that selects spans to add; base spans
-always stay.
+fitted on the table of all distinct feature rows of all candidates, each also with one kind
+of evidence masked; each kind's threshold is calibrated on the documents of another fold.
+A small table is summed on the driver, a large one by Spark, with the same trees. The trees
+become a column expression that selects spans to add; base spans always stay.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import plain_name
+from folioforge.llm.common import plain_name, settle
 
 #: The kinds of base spans, then that which only the method finds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -68,9 +68,13 @@ CONTEXT = 32
 #: The three last are the evidence, each masked in turn; MASK stands for a masked one.
 FEATURES = ("kind", "digits", "separators", "letters", "width", "before", "after", "head", "tail", "written", "form", "cue", "second")
 VIEWS, MASK = (None, 10, 11, 12), -1
-#: Fitting: distinct feature rows taken (the most common first), rounds, rate, and the
-#: precision that a kind's threshold must reach on the other fold.
-MOST_FEATURE_ROWS, ROUNDS, RATE, PRECISION = 20_000, 24, 0.3, 0.97
+#: Fitting: distinct feature rows up to which the driver sums them (more are summed by Spark),
+#: rounds, depth, rate, and the precision that a kind's threshold must reach on the other fold.
+DRIVER_ROWS, ROUNDS, DEPTH, RATE, PRECISION = 80_000, 24, 3, 0.3, 0.97
+#: Scores and gradients are whole numbers of 1 / UNIT, so that a sum is the same in any order; scores with the same
+#: upper bits are a bin of at most 1 << BIN_BITS different ones.
+UNIT_BITS, BIN_BITS = 20, 14
+UNIT = 1 << UNIT_BITS
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -236,112 +240,194 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(ANY_SIGN), F.transform(_proposed(text), describe)).otherwise(F.transform(none, describe))
 
 
-# ---------------------------------------------------------------- boosted trees on the driver
+# ---------------------------------------------------------------- boosted trees
 
 
 @dataclass
 class Trees:
-    """base + RATE * the leaves; a tree is (feature, cut, left, right), a leaf is a number."""
+    """start + the leaves, in units of 1 / UNIT; a tree is (feature, cut, left, right), a leaf is a number."""
 
-    start: float
+    start: int
     trees: list
-    thresholds: dict[int, float]
+    thresholds: dict[int, int]
 
-    def score(self, x: list[int]) -> float:
-        def leaf(t):
-            while isinstance(t, tuple):
-                t = t[2] if x[t[0]] <= t[1] else t[3]
-            return t
-
-        return self.start + RATE * sum(map(leaf, self.trees))
+    def score(self, x: list[int]) -> int:
+        return self.start + sum(_leaf(t, x) for t in self.trees)
 
     def column(self, x: Column) -> Column:
         def walk(t) -> Column:
-            return F.when(F.get(x, F.lit(t[0])) <= t[1], walk(t[2])).otherwise(walk(t[3])) if isinstance(t, tuple) else F.lit(float(t))
+            return F.when(F.get(x, F.lit(t[0])) <= t[1], walk(t[2])).otherwise(walk(t[3])) if isinstance(t, tuple) else F.lit(t).cast("long")
 
-        total = F.lit(self.start)
+        total = F.lit(self.start).cast("long")
         for t in self.trees:
-            total = total + RATE * walk(t)
+            total = total + walk(t)
         return total
 
 
-def _grow(rows: list[tuple[tuple, float, float]], depth: int):
-    """rows: (features, gradient, curvature); the split of most gain, or a leaf."""
-    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    best, value = (1e-6, None), lambda a, b: a * a / (b + 1.0)
-    for f in range(len(FEATURES)) if depth else ():
-        by: dict[int, list[float]] = {}
-        for x, a, b in rows:
-            s = by.setdefault(x[f], [0.0, 0.0])
-            s[0] += a
-            s[1] += b
-        left = [0.0, 0.0]
+def _leaf(t, x) -> int:
+    while isinstance(t, tuple):
+        t = t[2] if x[t[0]] <= t[1] else t[3]
+    return t
+
+
+class HeldRows:
+    """Feature rows (fold, view, x, p, n) summed on the driver: fold 0 fits, whole rows of fold 1 judge."""
+
+    def __init__(self, rows: list):
+        self.fit = [(tuple(r["x"]), r["p"], r["n"]) for r in rows if r["fold"] == 0]
+        self.judge = [(tuple(r["x"]), r["p"], r["n"]) for r in rows if r["fold"] == 1 and r["view"] == 0]
+
+    def totals(self) -> tuple[int, int]:
+        return sum(r[1] for r in self.fit), sum(r[2] for r in self.fit)
+
+    def begin(self, model: Trees) -> None:
+        """A round's gradients and curvatures."""
+        self.at = [s + _leaf(model.trees[-1], r[0]) for s, r in zip(self.at, self.fit, strict=True)] if model.trees else [model.start] * len(self.fit)
+        self.slopes = []
+        for (_, p, n), s in zip(self.fit, self.at, strict=True):
+            q = math.floor(UNIT / (1 + math.exp(-s / UNIT)) + 0.5)
+            self.slopes.append((p * UNIT - n * q, n * (q * (UNIT - q) >> UNIT_BITS)))
+
+    def sums(self, splits: dict, nodes: list[int]) -> dict:
+        """{node: {feature: {value: (gradient, curvature)}}}; the children of a split node k are 2k and 2k + 1."""
+        out: dict = {k: {f: {} for f in range(len(FEATURES))} for k in nodes}
+        for (x, _, _), (g, h) in zip(self.fit, self.slopes, strict=True):
+            k = 1
+            while k in splits:
+                k = 2 * k + (x[splits[k][0]] > splits[k][1])
+            for f, by in out.get(k, {}).items():
+                a, b = by.get(x[f], (0, 0))
+                by[x[f]] = (a + g, b + h)
+        return out
+
+    def thresholds(self, model: Trees) -> dict[int, int]:
+        found: dict[int, int] = {}
+        for kind in range(len(KINDS)):
+            by: dict[int, list[int]] = {}
+            for x, p, n in self.judge:
+                if x[0] == kind:
+                    own = by.setdefault(model.score(x), [0, 0])
+                    own[0] += p
+                    own[1] += n
+            good = every = 0
+            for s in sorted(by, reverse=True):
+                good, every = good + by[s][0], every + by[s][1]
+                if good >= PRECISION * every:
+                    found[kind] = s
+        return found
+
+
+class SpreadRows:
+    """The same over a table of any number of feature rows; only sums by node, feature and value reach the driver."""
+
+    def __init__(self, table: DataFrame):
+        self.fit = table.where("fold = 0").select("x", "p", "n")
+        self.judge = table.where("fold = 1 AND view = 0").select("x", "p", "n")
+
+    def totals(self) -> tuple[int, int]:
+        r = self.fit.agg(F.sum("p"), F.sum("n")).first()
+        return r[0] or 0, r[1] or 0
+
+    def begin(self, model: Trees) -> None:
+        at = self.fit.withColumn("s", model.column(F.col("x")))
+        q = at.withColumn("q", F.floor(F.lit(UNIT) / (1 + F.exp(-F.col("s") / UNIT)) + 0.5))
+        curve = F.shiftright(F.col("q") * (F.lit(UNIT) - F.col("q")), UNIT_BITS)
+        self.slopes = q.select("x", (F.col("p") * UNIT - F.col("n") * F.col("q")).alias("g"), (F.col("n") * curve).alias("h"))
+
+    def sums(self, splits: dict, nodes: list[int]) -> dict:
+        def node(k: int) -> Column:
+            return F.when(F.get("x", F.lit(splits[k][0])) <= splits[k][1], node(2 * k)).otherwise(node(2 * k + 1)) if k in splits else F.lit(k)
+
+        each = self.slopes.withColumn("node", node(1)).where(F.col("node").isin(*nodes)).select("node", "g", "h", F.posexplode("x").alias("f", "v"))
+        out: dict = {k: {f: {} for f in range(len(FEATURES))} for k in nodes}
+        for r in each.groupBy("node", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[r["node"]][r["f"]][r["v"]] = (r["g"], r["h"])
+        return out
+
+    def thresholds(self, model: Trees) -> dict[int, int]:
+        each = self.judge.select(F.get("x", F.lit(0)).alias("kind"), model.column(F.col("x")).alias("s"), "p", "n")
+        each = each.groupBy("kind", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("bin", F.shiftright("s", BIN_BITS))
+        higher = Window.partitionBy("kind").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        bins = each.groupBy("kind", "bin").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        above = bins.select("kind", "bin", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_above") for c in "pn"])
+        inside = Window.partitionBy("kind", "bin").orderBy(F.desc("s"))
+        upto = each.select("kind", "bin", "s", *[F.sum(c).over(inside).alias(c) for c in "pn"]).join(above, ["kind", "bin"])
+        good = upto.where(F.col("p") + F.col("p_above") >= PRECISION * (F.col("n") + F.col("n_above")))
+        return {r["kind"]: r["s"] for r in good.groupBy("kind").agg(F.min("s").alias("s")).collect()}
+
+
+def _best(by_feature: dict) -> tuple | None:
+    """(feature, cut, sums on the left, sums on the right) of most gain."""
+    value = lambda a, b: (a / UNIT) ** 2 / (b / UNIT + 1)
+    g, h = (sum(s[i] for s in by_feature[0].values()) for i in (0, 1))
+    most, best = 1e-6, None
+    for f, by in by_feature.items():
+        left = (0, 0)
         for cut in sorted(by)[:-1]:
-            left[0] += by[cut][0]
-            left[1] += by[cut][1]
-            gain = value(*left) + value(g - left[0], h - left[1]) - value(g, h)
-            if gain > best[0]:
-                best = (gain, (f, cut))
-    if best[1] is None:
-        return g / (h + 1.0)
-    f, cut = best[1]
-    return (f, cut, _grow([r for r in rows if r[0][f] <= cut], depth - 1), _grow([r for r in rows if r[0][f] > cut], depth - 1))
-
-
-def boost(rows: list[tuple[tuple[int, ...], float, float]]) -> Trees:
-    """Logistic boosting of trees of depth 3 over (features, positives, negatives)."""
-    p, n = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    model = Trees(math.log((p + 1) / (n + 1)), [], {})
-    at = [model.start] * len(rows)
-    for _ in range(ROUNDS if p and n else 0):
-        work = []
-        for (x, pos, neg), s in zip(rows, at, strict=True):
-            q = 1 / (1 + math.exp(-s))
-            work.append((x, pos - (pos + neg) * q, (pos + neg) * q * (1 - q)))
-        model.trees.append(tree := _grow(work, 3))
-        one = Trees(0.0, [tree], {})
-        at = [s + one.score(r[0]) for s, r in zip(at, rows, strict=True)]
+            left = (left[0] + by[cut][0], left[1] + by[cut][1])
+            right = (g - left[0], h - left[1])
+            gain = value(*left) + value(*right) - value(g, h)
+            if gain > most:
+                most, best = gain, (f, cut, left, right)
+    return best
+
+
+def _grow(rows: HeldRows | SpreadRows):
+    """A tree level by level: a pass over the rows for each."""
+    splits: dict = {}
+    ends: dict = {}
+    nodes = [1]
+    for _ in range(DEPTH):
+        table, nodes, before = rows.sums(splits, nodes), [], nodes
+        for k in before:
+            ends.setdefault(k, tuple(sum(s[i] for s in table[k][0].values()) for i in (0, 1)))
+            if best := _best(table[k]):
+                splits[k], ends[2 * k], ends[2 * k + 1] = best[:2], *best[2:]
+                nodes += [2 * k, 2 * k + 1]
+        if not nodes:
+            break
+
+    def tree(k: int):
+        g, h = ends[k]
+        return (*splits[k], tree(2 * k), tree(2 * k + 1)) if k in splits else round(RATE * g / (h / UNIT + 1))
+
+    return tree(1)
+
+
+def boost(rows: HeldRows | SpreadRows) -> Trees:
+    """Logistic boosting of trees over all rows, then each kind's lowest score from which PRECISION
+    holds on the other fold; without one, the kind adds nothing."""
+    p, n = rows.totals()
+    model = Trees(round(UNIT * math.log((p + 1) / (n - p + 1))), [], {})
+    for _ in range(ROUNDS if 0 < p < n else 0):
+        rows.begin(model)
+        model.trees.append(_grow(rows))
+    model.thresholds = rows.thresholds(model)
     return model
 
 
-def calibrate(model: Trees, rows: list[tuple[tuple[int, ...], float, float]]) -> None:
-    """Each kind's lowest score from which PRECISION holds on ``rows``; without one, the kind adds nothing."""
-    for kind in range(len(KINDS)):
-        own = sorted(((model.score(list(x)), p, n) for x, p, n in rows if x[0] == kind), reverse=True)
-        good = bad = 0.0
-        for i, (s, p, n) in enumerate(own):
-            good, bad = good + p, bad + n
-            last = i + 1 == len(own) or own[i + 1][0] < s
-            if last and good >= PRECISION * (good + bad):
-                model.thresholds[kind] = s
-
-
 def _views(c: Column) -> Column:
     """A candidate's feature row as it is, and with each kind of evidence masked in turn."""
     masked = lambda at: F.transform(c["features"], lambda x, i: F.when(i == at, F.lit(MASK)).otherwise(x))
     return F.array(*[F.struct(F.lit(v).alias("view"), (c["features"] if at is None else masked(at)).alias("x"), c["label"].alias("label")) for v, at in enumerate(VIEWS)])
 
 
-def feature_rows(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[int, int, tuple]]:
-    """(fold, view, (features, positives, negatives)): the most common distinct rows, at most
-    4 * MOST_FEATURE_ROWS, summed over all candidates of all rows."""
+def feature_rows(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(fold, view, x, p, n): all distinct feature rows of all candidates of all rows; n counts
+    the candidates, p those of positive label."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(2))
     each = df.select(fold.alias("fold"), F.explode(candidates(text)).alias("c"))
     # equal candidates are summed before their masked views are made
     own = each.groupBy("fold", "c.features", "c.label").agg(F.count(F.lit(1)).alias("n"))
     views = own.select("fold", "n", F.explode(_views(F.struct("features", "label"))).alias("v"))
-    table = views.groupBy("fold", "v.view", "v.x").agg(F.sum(F.col("n") * F.col("v.label")).alias("p"), F.sum("n").alias("n"))
-    rows = table.orderBy(F.desc("n"), "view", "x", "fold").limit(len(VIEWS) * MOST_FEATURE_ROWS).collect()
-    return [(r["fold"], r["view"], (tuple(r["x"]), float(r["p"]), float(r["n"] - r["p"]))) for r in rows]
+    return views.groupBy("fold", "v.view", "v.x").agg(F.sum(F.col("n") * F.col("v.label")).alias("p"), F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Trees:
     """Trees from the candidates of one fold, in all views; thresholds from the whole features of the other."""
-    rows = feature_rows(df, text_col, id_col)
-    model = boost([r for fold, _, r in rows if fold == 0])
-    calibrate(model, [r for fold, view, r in rows if fold == 1 and view == 0])
-    return model
+    table = settle(feature_rows(df, text_col, id_col), "feature-rows")
+    return boost(HeldRows(table.collect()) if table.count() <= DRIVER_ROWS else SpreadRows(table))
 
 
 def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", model: Trees | None = None) -> DataFrame:

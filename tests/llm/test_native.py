@@ -209,6 +209,24 @@ def test_added_spans_on_a_held_out_fold(spark):
         assert len(added & held) >= 0.9 * len(added) and len(added & held) >= 0.7 * len(held), (share, len(added), len(held), len(added & held))
 
 
+def test_no_feature_row_is_dropped(spark, monkeypatch):
+    """More distinct feature rows than the driver holds: Spark sums all of them, to the same trees."""
+    import random
+
+    rng = random.Random(8)
+    value = lambda: rng.choice(["phone ", "id ", ""]) + "".join(rng.choice("0123456789 .-()") for _ in range(rng.randint(9, 18))) + rng.choice([" a(at)b.org", " 1[.]2[.]3[.]4", " token=ab12cd34", "", ""])
+    df = spark.createDataFrame([(i, f"text {value()} and {value()}") for i in range(400)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    held = pii.fit(df)
+    rows = pii.feature_rows(df).collect()
+    assert sum(r["n"] for r in rows if r["view"] == 0) == df.select(F.explode(pii.candidates(F.col("text")))).count()
+    monkeypatch.setattr(pii, "DRIVER_ROWS", len(rows) - 1)
+    monkeypatch.setattr(pii, "BIN_BITS", 17)
+    monkeypatch.setattr(pii, "HeldRows", None)
+    spread = pii.fit(df)
+    assert len(held.trees) == 3 and held.thresholds and spread == held
+
+
 # ---------------------------------------------------------------- licences
 
 
