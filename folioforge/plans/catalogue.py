@@ -484,9 +484,10 @@ def _customer_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, deed, end = pick(_NAMES, key), pick(_DEEDS, key * 7 + F.floor(key / 14)), pick(_ENDS, key * 3 + F.floor(key / 19))
     told = F.when(key % 3 == 0, F.concat(F.lit("În anul acela bogat "), name, F.lit(" "), deed, F.lit(" "), end, F.lit(", iar bătrânii cetății au lăudat fapta bună.")))
     told = told.otherwise(F.concat(F.lit("Regele "), name, F.lit(" "), deed, F.lit(" "), end, F.lit(". Toți oamenii locului au cinstit fapta lui "), pick(_NAMES, key * 5 + 3), F.lit(".")))
-    chapter = F.dense_rank().over(W.partitionBy("n_name").orderBy("c_mktsegment"))
-    rows = people.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("book"), chapter.alias("chapter"), key.cast("int").alias("verse"), told.alias("text"))
-    return rows
+    held = people.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    chapters = held.select("n_name", "c_mktsegment").distinct().select(F.col("n_name").alias("book"), F.col("c_mktsegment").alias("segment"), F.dense_rank().over(W.partitionBy("n_name").orderBy("c_mktsegment")).alias("chapter"))
+    placed = held.join(F.broadcast(chapters), (F.col("n_name") == F.col("book")) & F.col("c_mktsegment").eqNullSafe(F.col("segment")))  # a row a nation and segment
+    return placed.select("book", "chapter", key.cast("int").alias("verse"), told.alias("text"))
 
 
 def _customer_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -495,10 +496,9 @@ def _customer_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     from folioforge.plans.paper import papers
 
     verses = _customer_verses(spark, sf_dir)
-    facts = facts_of(verses).cache()
+    facts = facts_of(verses)
     selections = verses.select(F.col("book").alias("paper_id"), "book", "chapter").distinct()
-    items = papers(with_candidates(facts), selections, SEED, 1, 2).cache()  # each rule reads them
-    return items, selections, facts, verses
+    return papers(with_candidates(facts), selections, SEED, 1, 2), selections, facts, verses
 
 
 @_query()
@@ -513,6 +513,7 @@ def paper_violations(spark, sf_dir):
     from folioforge.plans.validate import evidence, structural
 
     items, selections, facts, verses = _customer_papers(spark, sf_dir)
+    items = settled(items, "papers")  # each rule reads them
     return structural(items, selections, facts).unionByName(evidence(items, facts, verses, selections))
 
 
@@ -521,4 +522,4 @@ def paper_coverage(spark, sf_dir):
     from folioforge.plans.validate import coverage as cited
 
     items, _, facts, _ = _customer_papers(spark, sf_dir)
-    return cited(items, facts)
+    return cited(settled(items, "papers"), facts)

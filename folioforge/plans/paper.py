@@ -3,26 +3,38 @@
 The choice is sequential by nature: a fact is spent once, stems must differ from all
 before, and answers are capped. So papers run side by side, one group each, over
 candidates that were worked out before; within a paper the scarcest shape goes first.
+A group stays in Arrow: few of its facts are looked at, and only those are read in full.
 Every order that looks random is an order by md5 of seed, version and what is ordered.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import itertools
+import math
+import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge import lexicon as L
 from folioforge.errors import GenerationError
 from folioforge.functions import romanian as R
+from folioforge.tables import small
 
 ITEMS = "paper_id string, version int, section string, ordinal int, question string, options map<string,string>, correct array<string>, left_column array<string>, fact_ids array<string>"
-_ITEM_NAMES = [c.split()[0] for c in ITEMS.split(", ")]
+_ARROW_ITEMS = pa.schema([
+    ("paper_id", pa.string()), ("version", pa.int32()), ("section", pa.string()), ("ordinal", pa.int32()), ("question", pa.string()), ("options", pa.map_(pa.string(), pa.string())),
+    ("correct", pa.list_(pa.string())), ("left_column", pa.list_(pa.string())), ("fact_ids", pa.list_(pa.string())),
+])
+#: Facts of a group that are held as Python values at a time.
+READ_FACTS = 5_000
 _MORE = "Adăugați încă un capitol la selecție."
 
 
@@ -41,33 +53,104 @@ class StemLedger:
         return True
 
 
-@dataclass(frozen=True)
+class Rivals:
+    """What is told of whom, by words. A clause that shares OVERLAP of its words with some words told
+    has one of its rarest among them, so only those that hold one are looked at."""
+
+    def __init__(self, told: Iterable[tuple[str, frozenset[str]]]) -> None:
+        self.by: dict[str, dict[str, list[frozenset[str]]]] = defaultdict(lambda: defaultdict(list))
+        self.met: Counter[str] = Counter()
+        self.any = False
+        for who, words in dict.fromkeys(told):
+            self.any = True
+            self.met.update(words)
+            for w in words:
+                self.by[w][who].append(words)
+
+    def unambiguous(self, clause: str, name: str) -> bool:
+        """No one else is told of in OVERLAP of the clause's words."""
+        own = frozenset(re.findall(r"\w+", clause.lower()))
+        least = L.OVERLAP * len(own)
+        rare = sorted(own, key=self.met.__getitem__)[: len(own) - math.ceil(least) + 1]
+        told = ((who, words) for w in rare if w in self.by for who, words in self.by[w].items())
+        return bool(own) and not any(any(len(own & other) >= least for other in words) for who, words in told if not R.same_referent(who, name))
+
+
+@dataclass(frozen=True, slots=True)
 class Candidate:
-    """A fact and what it can become."""
+    """A fact; what it can become is read when it is asked for."""
 
     id: str
     chapter: tuple[str, int]
     object: str
     quality: bool
-    statement: str
-    options: tuple[str, ...]
-    shape: dict = field(hash=False, compare=False)
+    row: int
+    facts: Facts
+
+    @property
+    def shape(self) -> dict:
+        return self.facts.shape(self.row)
+
+    @property
+    def statement(self) -> str:
+        return self.shape["statement"]
+
+    @property
+    def options(self) -> list[str]:
+        return self.shape["options"]
 
     def stem(self, name: str) -> R.Stem | None:
         s = self.shape[name]
         return R.Stem(**s) if s is not None else None
 
-    def blank(self, rivals: list | None) -> R.Stem | None:
+    def blank(self, rivals: Rivals | None) -> R.Stem | None:
         """The first blank that doesn't lead, or leads and can only mean this name."""
         for s in self.shape["blanks"]:
             b = R.Stem(**s)
-            if not b.tail or (rivals and R.unambiguous(b.tail, self.object, rivals)):
+            if not b.tail or (rivals and rivals.any and rivals.unambiguous(b.tail, self.object)):
                 return b
         return None
 
-    def clear_wh(self, rivals: list) -> R.Stem | None:
+    def clear_wh(self, rivals: Rivals) -> R.Stem | None:
         s = self.stem("wh")
-        return s if s and R.unambiguous(s.segment, self.object, rivals) else None
+        return s if s and rivals.unambiguous(s.segment, self.object) else None
+
+
+class Facts:
+    """The facts of a group in corpus order, and what all versions ask of them together."""
+
+    def __init__(self, group: pa.Table) -> None:
+        pos = group["pos"].combine_chunks()
+        keys = pos.flatten() if pa.types.is_struct(pos.type) else [pos]
+        order = pc.sort_indices(pa.table(keys, [str(i) for i in range(len(keys))]), sort_keys=[(str(i), "ascending") for i in range(len(keys))]).to_pylist()
+        self.group, self.names = group, [n for n in group.column_names if n not in ("paper_id", "pos", "id", "book", "chapter", "object", "quality")]
+        column = {n: group[n].to_pylist() for n in ("id", "book", "chapter", "object", "quality")}
+        self.all = [Candidate(column["id"][i], (column["book"][i], column["chapter"][i]), column["object"][i], bool(column["quality"][i]), i, self) for i in order]
+        self.quality = [f for f in self.all if f.quality]
+        self.objects = list(dict.fromkeys(f.object for f in self.quality))
+        self.numerals, self.places = (list(dict.fromkeys(v for held in self._of(n) for v in held)) for n in ("numerals", "places"))
+        self.rivals = Rivals((f.object, frozenset(w)) for f, told in zip(self.quality, self._of("rivals"), strict=True) for w in told)
+        self.plain_blank, self.has_list = (group[n].to_pylist() for n in ("plain_blank", "has_list"))
+        self._clear: dict[int, bool] = {}
+        self.shape = lru_cache(maxsize=READ_FACTS)(self._shape)
+
+    def _of(self, name: str) -> Iterator[list]:
+        """A column's lists for the quality facts, in corpus order."""
+        column, rows = self.group[name], [f.row for f in self.quality]
+        for at in range(0, len(rows), READ_FACTS):
+            yield from (v or [] for v in column.take(pa.array(rows[at : at + READ_FACTS], pa.int64())).to_pylist())
+
+    def _shape(self, row: int) -> dict:
+        held = {n: self.group[n][row].as_py() for n in self.names}
+        return held | {n: held[n] or [] for n in ("options", "blanks", "numerals", "places", "list_members")}
+
+    def for_ii(self, f: Candidate) -> bool:
+        """Whether section II can ask for a fact by a blank or a question that is clear."""
+        if self.plain_blank[f.row]:
+            return True
+        if f.row not in self._clear:
+            self._clear[f.row] = bool(f.clear_wh(self.rivals))
+        return self._clear[f.row]
 
 
 def swap(statement: str, name: str, new: str) -> str:
@@ -76,21 +159,20 @@ def swap(statement: str, name: str, new: str) -> str:
     return statement[: hit.start()] + new + statement[hit.end() :]
 
 
-def replacement(fact: Candidate, statement: str, pool: Iterable[Candidate], gendered: bool) -> str | None:
-    """Another name for the last hit: of one class and gender first, then class, gender, any;
-    own options before the pool. ``gendered`` stops after the first."""
-    *_, hit = R.whole_word(fact.object).finditer(statement)
+def replacement(name: str, statement: str, options: Iterable[str], objects: list[str], gendered: bool) -> str | None:
+    """Another of ``objects`` for the last hit of ``name``: of one class and gender first, then class,
+    gender, any; ``options`` among them go first. ``gendered`` stops after the first."""
+    *_, hit = R.whole_word(name).finditer(statement)
     rest = f"{statement[: hit.start()]} {statement[hit.end() :]}"
     lead = (statement[: hit.start()].split() or [""])[-1].lower()
-    pool = list(pool)
-    inside = {c.object for c in pool}
+    inside = set(objects)
 
     def safe(v: str) -> bool:
         doubled = lead in L.DEFINITE_LEAD and v in L.ARTICLED
-        return v != L.OBLIQUE_DEITY and not R.same_referent(v, fact.object) and not doubled and not R.mentions(rest, v) and R.compatible(v, fact.object)
+        return v != L.OBLIQUE_DEITY and not R.same_referent(v, name) and not doubled and not R.mentions(rest, v) and R.compatible(v, name)
 
-    values = [v for v in dict.fromkeys([*(o for o in fact.options if o in inside), *(c.object for c in pool if c.id != fact.id)]) if safe(v)]
-    like = lambda v: (L.swap_class(v) == L.swap_class(fact.object), L.gender(v) == L.gender(fact.object))
+    values = [v for v in dict.fromkeys([*(o for o in options if o in inside), *objects]) if safe(v)]
+    like = lambda v: (L.swap_class(v) == L.swap_class(name), L.gender(v) == L.gender(name))
     tiers: list[Callable[[str], bool]] = [lambda v: all(like(v)), lambda v: like(v)[0], lambda v: like(v)[1], lambda v: True]
     for tier in tiers[: 1 if gendered else 4]:
         if best := next(filter(tier, values), None):
@@ -99,17 +181,15 @@ def replacement(fact: Candidate, statement: str, pool: Iterable[Candidate], gend
 
 
 class Paper:
-    def __init__(self, facts: list[Candidate], seed: int, version: int, avoid: frozenset[str] = frozenset()):
-        self.all, self.seed, self.version, self.avoid = facts, seed, version, avoid
-        self.facts = [f for f in facts if f.quality]
-        if len(self.facts) < L.QUALITY_ITEMS or len(facts) < L.TOTAL_ITEMS:
-            raise GenerationError(f"Un test complet folosește {L.TOTAL_ITEMS} versete distincte, dintre care {L.QUALITY_ITEMS} cu un nume recunoscut. Selecția are {len(facts)} versete ({len(self.facts)} cu nume). {_MORE}")
+    def __init__(self, facts: Facts, seed: int, version: int, avoid: frozenset[str] = frozenset()):
+        self.of, self.all, self.facts, self.seed, self.version, self.avoid = facts, facts.all, facts.quality, seed, version, avoid
+        if len(self.facts) < L.QUALITY_ITEMS or len(self.all) < L.TOTAL_ITEMS:
+            raise GenerationError(f"Un test complet folosește {L.TOTAL_ITEMS} versete distincte, dintre care {L.QUALITY_ITEMS} cu un nume recunoscut. Selecția are {len(self.all)} versete ({len(self.facts)} cu nume). {_MORE}")
         self.used: set[str] = set()
         self.ledger = StemLedger()
         self.items: list[dict] = []
-        self.rivals = [(f.object, frozenset(w)) for f in self.facts for w in f.shape["rivals"]]
+        self.rivals = facts.rivals
         self.pool = sorted(self._round_robin(), key=lambda f: f.id in avoid)
-        self.for_ii = {f.id for f in self.facts if f.blank(None) or f.clear_wh(self.rivals)}
 
     # -- orders
 
@@ -124,7 +204,12 @@ class Paper:
         for f in self.facts:
             by.setdefault(f.chapter, []).append(f)
         turn = {f.id: i for own in by.values() for i, f in enumerate(sorted(own, key=lambda f: self._key(f.id)))}
-        return sorted(self.facts, key=lambda f: (turn[f.id], self._key(*f.chapter)))
+        place = {c: self._key(*c) for c in by}
+        return sorted(self.facts, key=lambda f: (turn[f.id], place[f.chapter]))
+
+    def _for_ii(self, wanted: bool) -> Iterator[Candidate]:
+        """The pool's facts that section II can ask for, or those that it can't."""
+        return (f for f in self.pool if self.of.for_ii(f) == wanted)
 
     # -- sections
 
@@ -132,11 +217,11 @@ class Paper:
         ordinal = 1 + sum(i["section"] == section for i in self.items)
         self.items.append({"section": section, "ordinal": ordinal, "question": question, "options": options, "correct": correct, "left_column": left, "fact_ids": fact_ids})
 
-    def _reserve(self, facts: list[Candidate], text: Callable[[Candidate], str | None], what: str) -> list[Candidate]:
+    def _reserve(self, facts: Callable[[], Iterable[Candidate]], text: Callable[[Candidate], str | None], what: str) -> list[Candidate]:
         got: list[Candidate] = []
         for strict in (True, False):
-            for f in facts:
-                if len(got) < 5 and f.id not in self.used and (t := text(f)) and self.ledger.claim(t, strict):
+            for f in itertools.takewhile(lambda _: len(got) < 5, facts()):
+                if f.id not in self.used and (t := text(f)) and self.ledger.claim(t, strict):
                     got.append(f)
                     self.used.add(f.id)
         if len(got) < 5:
@@ -145,18 +230,26 @@ class Paper:
 
     def section_i(self) -> tuple[list[tuple[Candidate, str]], list[Candidate]]:
         """False statements first: whatever can be made false can be true as well."""
-        swaps: dict[str, tuple[str, bool]] = {}
-        for f in self.pool:
-            s = f.shape["concise_named"]
-            if s and f.object != L.OBLIQUE_DEITY:
-                kept = replacement(f, s, self.facts, True)
-                if new := kept or replacement(f, s, self.facts, False):
-                    swaps[f.id] = (swap(s, f.object, new), kept is not None)
-        false = sorted((f for f in self.pool if f.id in swaps), key=lambda f: (not swaps[f.id][1], f.id in self.for_ii))
-        false = self._reserve(false, lambda f: f.shape["concise_named"], "false")
+        swaps: dict[int, tuple[str, bool] | None] = {}
+
+        def swapped(f: Candidate) -> tuple[str, bool] | None:
+            """A false affirmation, and whether the new name is of one class and gender with the old."""
+            if f.row not in swaps:
+                s, swaps[f.row] = f.shape["concise_named"], None
+                if s and f.object != L.OBLIQUE_DEITY:
+                    kept = replacement(f.object, s, f.options, self.of.objects, True)
+                    if new := kept or replacement(f.object, s, f.options, self.of.objects, False):
+                        swaps[f.row] = (swap(s, f.object, new), kept is not None)
+            return swaps[f.row]
+
+        def can_be_false() -> Iterator[Candidate]:
+            for kept, reserved in itertools.product((True, False), (False, True)):
+                yield from (f for f in self._for_ii(reserved) if (s := swapped(f)) and s[1] == kept)
+
+        false = self._reserve(can_be_false, lambda f: f.shape["concise_named"], "false")
         plain = [f for f in self.all if not f.quality]
-        true = self._reserve(plain + sorted(self.pool, key=lambda f: f.id in self.for_ii), lambda f: f.shape["concise"], "adevărate")
-        return [(f, swaps[f.id][0]) for f in false], true
+        true = self._reserve(lambda: itertools.chain(plain, self._for_ii(False), self._for_ii(True)), lambda f: f.shape["concise"], "adevărate")
+        return [(f, swapped(f)[0]) for f in false], true
 
     def _choice(self, stem: str, values: list[str], right: list[str], fact: Candidate, strict: bool) -> bool:
         if R.distinct_referents(values, 3) is None or not self.ledger.claim(stem, strict):
@@ -166,51 +259,63 @@ class Paper:
         self.used.add(fact.id)
         return True
 
-    def _list_values(self, fact: Candidate, wanted: int, foreign: list[str]) -> tuple[list[str], list[str]] | None:
-        right = list(fact.shape["list_members"][:wanted])
+    def _list_values(self, fact: Candidate, wanted: int, foreign: dict[str, tuple]) -> tuple[list[str], list[str]] | None:
+        own = fact.shape["list_members"]
+        right = own[:wanted]
         if len(right) < wanted:
             return None
-        registers, size = {R.register(v) for v in right}, sum(len(v.split()) for v in right) / wanted
-        other = [v for v in foreign if v not in fact.shape["list_members"] and not R.mentions(fact.statement, v) and R.register(v) in registers and R.member_kind(v) == R.member_kind(right[0])]
-        near = list({v.lower(): v for v in reversed(sorted(other, key=lambda v: abs(len(v.split()) - size)))}.values())[::-1][: 3 - wanted]
+        registers, kind, size = {R.register(v) for v in right}, R.member_kind(right[0]), sum(len(v.split()) for v in right) / wanted
+        alike: dict[str, list[str]] = defaultdict(list)  # by the place where they first stand
+        for v, (_, _, its_register, its_kind) in foreign.items():
+            if its_register in registers and its_kind == kind and v not in own and not R.mentions(fact.statement, v):
+                alike[v.lower()].append(v)
+        ranked = sorted(alike.values(), key=lambda same: (abs(len(same[0].split()) - size), max(foreign[v][1] for v in same)))
+        near = [same[0] for same in ranked[: 3 - wanted]]
         return (right, right + near) if len(near) == 3 - wanted else None
 
-    def section_iv(self, pool: list[Candidate]) -> None:
-        lists = [f for f in pool if f.shape["list_stem"]]
-        foreign = [m for f in lists for m in f.shape["list_members"]]
+    def section_iv(self) -> None:
+        lists = [f for reserved in (False, True) for f in self._for_ii(reserved) if self.of.has_list[f.row]]
+        foreign: dict[str, tuple] = {}  # each member with its first and last place
+        for at, v in enumerate(m for f in lists for m in f.shape["list_members"]):
+            foreign[v] = (foreign[v][0], at, *foreign[v][2:]) if v in foreign else (at, at, R.register(v), R.member_kind(v))
         count = lambda: sum(i["section"] == "IV" for i in self.items)
         for reserved, strict in ((False, True), (False, False), (True, True), (True, False)):
             for wanted in (3, 2, 1):
                 for f in lists:
-                    if count() < 3 and f.id not in self.used and (found := self._list_values(f, wanted, foreign)):
+                    if count() == 3:
+                        return
+                    if f.id not in self.used and (found := self._list_values(f, wanted, foreign)):
                         self._choice(f.shape["list_stem"], found[1], found[0], f, strict)
-            for f in pool:
+            for f in self._for_ii(True) if reserved else ():  # no other fact has a clear stem
                 if count() == 3:
                     return
-                if f.id in self.used or (f.id in self.for_ii and not reserved) or not (s := f.blank(None) or f.clear_wh(self.rivals)):
+                if f.id in self.used or not (s := f.blank(None) or f.clear_wh(self.rivals)):
                     continue
-                others = dict.fromkeys(c.object for c in self.facts if not R.mentions(s.segment, c.object) and R.compatible(c.object, f.object) and c.object != L.OBLIQUE_DEITY)
-                if values := R.distinct_referents([f.object, *others], 3):
+                others = (o for o in self.of.objects if not R.mentions(s.segment, o) and R.compatible(o, f.object) and o != L.OBLIQUE_DEITY)
+                if values := R.distinct_referents(itertools.chain([f.object], others), 3):
                     self._choice(s.stem, values, [f.object], f, strict)
         if count() < 3:
             raise GenerationError("Nu s-au putut construi trei întrebări verificabile pentru Secțiunea IV.")
 
-    def matching_rows(self, pool: list[Candidate]) -> list[tuple[Candidate, str, str]]:
+    def matching_rows(self) -> list[tuple[Candidate, str, str]]:
         rows: list[tuple[Candidate, str, str]] = []
         for deity in (False, True):
-            for f in pool:
-                clause, names = f.shape["named"], [r[1] for r in rows]
-                fresh = clause and f.id not in self.used and f.id not in self.for_ii and f.object not in names and clause not in [r[2] for r in rows]
-                if len(rows) < 5 and fresh and (deity or f.object not in L.DEITY) and not R.inflects(f.object, names):
+            for f in itertools.takewhile(lambda _: len(rows) < 5, self._for_ii(False)):
+                names = [r[1] for r in rows]
+                if f.id in self.used or f.object in names or (f.object in L.DEITY and not deity) or R.inflects(f.object, names):
+                    continue
+                if (clause := f.shape["named"]) and clause not in [r[2] for r in rows]:
                     rows.append((f, f.object, clause))
                     self.used.add(f.id)
         return rows
 
     def section_iii(self, rows: list[tuple[Candidate, str, str]]) -> None:
         for shape in ("halves", "named"):
-            for f in self.pool:
+            for f in itertools.takewhile(lambda _: len(rows) < 5, self.pool):
+                if f.id in self.used:
+                    continue
                 left, right = (f.shape["left"], f.shape["right"]) if shape == "halves" else (f.object, f.shape["named"])
-                if len(rows) == 5 or f.id in self.used or not left or not right:
+                if not left or not right:
                     continue
                 if left.lower() in {r[1].lower() for r in rows} or right in [r[2] for r in rows] or (shape == "named" and R.inflects(left, [r[1] for r in rows])):
                     continue
@@ -225,14 +330,14 @@ class Paper:
     def _available(self, shape: str, f: Candidate, answer: str) -> Iterable[str]:
         if shape == "numeral":
             value, seen = L.NUMERALS[answer], set()
-            for v in dict.fromkeys([*(n for c in self.facts for n in c.shape["numerals"]), *L.FALLBACK_NUMERALS]):
+            for v in dict.fromkeys([*self.of.numerals, *L.FALLBACK_NUMERALS]):
                 if L.NUMERALS[v] != value and L.NUMERALS[v] not in seen:
                     seen.add(L.NUMERALS[v])
                     yield v
         elif shape == "place":
-            yield from dict.fromkeys(p for c in self.facts for p in c.shape["places"] if p != answer)
+            yield from (p for p in self.of.places if p != answer)
         else:
-            yield from dict.fromkeys([*f.options, *(c.object for c in self.facts)])
+            yield from itertools.chain(f.options, self.of.objects)
 
     def section_ii(self) -> None:
         """Least used shape first; siblings' facts are put off, then caps and likeness are eased."""
@@ -254,7 +359,7 @@ class Paper:
                         if not s or answers[s.answer] >= cap:
                             continue
                         others = (v for v in self._available(shape, f, s.answer) if v != L.OBLIQUE_DEITY and not R.mentions(s.segment, v) and R.compatible(v, s.answer))
-                        values = R.distinct_referents([s.answer, *others], 3)
+                        values = R.distinct_referents(itertools.chain([s.answer], others), 3)
                         if values is None or not self.ledger.claim(s.stem, strict):
                             continue
                         wrong = self._mixed(values[1:], ("II", f.id))
@@ -270,9 +375,8 @@ class Paper:
 
     def build(self) -> list[dict]:
         false, true = self.section_i()
-        pool = sorted(self.pool, key=lambda f: f.id in self.for_ii)
-        self.section_iv(pool)
-        rows = self.matching_rows(pool)
+        self.section_iv()
+        rows = self.matching_rows()
         self.section_ii()
         self.section_iii(rows)
         marks, salt = [True] * 5 + [False] * 5, 0
@@ -284,7 +388,7 @@ class Paper:
         return self.items
 
 
-def build_versions(facts: list[Candidate], seed: int, first: int, count: int) -> Iterator[tuple[int, list[dict]]]:
+def build_versions(facts: Facts, seed: int, first: int, count: int) -> Iterator[tuple[int, list[dict]]]:
     """Each version is told what the ones before have spent."""
     spent: frozenset[str] = frozenset()
     for version in range(first, first + count):
@@ -293,33 +397,28 @@ def build_versions(facts: list[Candidate], seed: int, first: int, count: int) ->
         yield version, items
 
 
-def _candidates(group: pd.DataFrame) -> list[Candidate]:
-    from folioforge.operators.candidates import NAMES
-
-    out = []
-    for r in group.to_dict("records"):
-        plain = lambda v: None if v is None else [plain(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, (str, dict)) else v
-        shape = {n: plain(r[n]) for n in NAMES}
-        shape |= {n: [tuple(w) if isinstance(w, list) else w for w in shape[n] or []] for n in ("blanks", "rivals", "numerals", "places", "list_members")}
-        out.append(Candidate(r["id"], (r["evidence"]["book"], r["evidence"]["chapter"]), r["object"], bool(r["quality"]), r["statement"], tuple(r["options"]), shape))
-    return out
-
-
 def papers(facts: DataFrame, selections: DataFrame, seed: int = 12345, first: int = 1, versions: int = 1) -> DataFrame:
     """Items of every paper. ``facts`` have candidates; ``selections`` are (paper_id, book, chapter).
 
     A paper that can't be filled has one row of section ``error`` with the reason, so that
-    one thin selection doesn't stop the others. Papers hold some hundred facts each.
+    one thin selection doesn't stop the others. A paper's facts stay in Arrow in one task;
+    beside their order, and rivals' words, Python holds those that it comes to.
     """
-    chosen = facts.join(selections.distinct(), (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).drop("book", "chapter")
+    from folioforge.operators.candidates import NAMES
+
+    used = facts.select(
+        "pos", "id", F.col("evidence.book").alias("book"), F.col("evidence.chapter").alias("chapter"), "object", "quality", "statement", "options", *NAMES,
+        F.coalesce(F.exists("blanks", lambda b: F.coalesce(b["tail"], F.lit("")) == ""), F.lit(False)).alias("plain_blank"), F.coalesce(F.col("list_stem") != "", F.lit(False)).alias("has_list"),
+    )
+    chosen = used.join(small(selections.select("paper_id", "book", "chapter").distinct()), ["book", "chapter"])
 
-    def allocate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+    def allocate(key: tuple, group: pa.Table) -> pa.Table:
+        rows, paper = [], key[0].as_py()
         try:
-            for version, items in build_versions(_candidates(group.sort_values("pos", key=lambda c: c.map(lambda p: tuple(p.values()) if isinstance(p, dict) else p))), seed, first, versions):
-                rows += [{"paper_id": key[0], "version": version, **i} for i in items]
+            for version, items in build_versions(Facts(group), seed, first, versions):
+                rows += [{"paper_id": paper, "version": version, **i, "options": i["options"] and list(i["options"].items())} for i in items]
         except GenerationError as e:
-            rows.append({"paper_id": key[0], "version": len({r["version"] for r in rows}) + first, "section": "error", "ordinal": 0, "question": str(e), "options": None, "correct": None, "left_column": None, "fact_ids": []})
-        return pd.DataFrame(rows, columns=_ITEM_NAMES)
+            rows.append({"paper_id": paper, "version": len({r["version"] for r in rows}) + first, "section": "error", "ordinal": 0, "question": str(e), "options": None, "correct": None, "left_column": None, "fact_ids": []})
+        return pa.Table.from_pylist(rows, _ARROW_ITEMS)
 
-    return chosen.groupBy("paper_id").applyInPandas(allocate, ITEMS)
+    return chosen.groupBy("paper_id").applyInArrow(allocate, ITEMS)

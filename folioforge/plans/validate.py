@@ -71,7 +71,7 @@ def _true_false(items: DataFrame, targets: DataFrame) -> DataFrame:
     names = ["section", "ordinal", *_KEYS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from folioforge.plans.paper import Candidate, replacement
+        from folioforge.plans.paper import replacement
 
         def fits(mark: str, said: str, text: str, name: str, known: set[str]) -> bool:
             if mark == "A":
@@ -82,9 +82,7 @@ def _true_false(items: DataFrame, targets: DataFrame) -> DataFrame:
             *_, hit = R.whole_word(name).finditer(source)
             before, after = source[: hit.start()], source[hit.end() :]
             new = said[len(before) : len(said) - len(after)]
-            other = Candidate("other", ("", 0), new, True, "", (), {})
-            own = Candidate("own", ("", 0), name, True, source, (), {})
-            return said == before + new + after and new in known and replacement(own, source, [other], False) == new
+            return said == before + new + after and new in known and replacement(name, source, (), [new], False) == new
 
         for b in batches:
             bad = [not fits(*r) for r in zip(b["mark"], b["question"], b["text"], b["object"], map(set, b["targets"]), strict=True)]
