@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from folioforge.functions import text as X
 from folioforge.operators.admission import admit
+from folioforge.operators.near_sets import near_pairs
 from folioforge.operators.ordering import drawn_places
 from folioforge.operators.selection import selection_frame
 from folioforge.tables import settled, small
@@ -399,14 +400,9 @@ def _prefix_words(sets: DataFrame, key: str, least: Callable) -> DataFrame:
     SELECT a, b, c AS common FROM p WHERE 10 * c >= 7 * greatest(n, m)"""
 )
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs whose word sets share 0.7 of the larger one, by prefix filtering on rare words."""
-    docs = _read(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.word_set(F.col("text")).alias("w")).where("size(w) > 0")
-    p = _prefix_words(docs, "doc_id", lambda n: F.ceil(n * 7 / 10)).select("doc_id", F.size("w").alias("n"), "word")
-    a, b = p.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "word"), p.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "word")
-    near = a.join(b, "word").where("a < b and 10 * nb >= 7 * na and 10 * na >= 7 * nb").select("a", "b").distinct()
-    pairs = near.join(docs.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    return pairs.where(10 * common >= 7 * F.greatest(F.size("wa"), F.size("wb"))).select("a", "b", common.cast("long").alias("common"))
+    """Pairs whose word sets share 0.7 of the larger one."""
+    docs = _read(spark, sf_dir, "documents").where("text is not null and doc_id is not null")
+    return near_pairs(docs.select(F.col("doc_id").cast("long").alias("key"), F.transform(X.word_set(F.col("text")), lambda w: F.xxhash64(w)).alias("members")).where("size(members) > 0"))
 
 
 @_query(
