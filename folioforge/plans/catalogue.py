@@ -518,4 +518,5 @@ def paper_coverage(spark, sf_dir):
     from folioforge.plans.validate import coverage as cited
 
     items, _, facts, _ = _customer_papers(spark, sf_dir)
+    facts = facts.cache()  # read for the papers, and again for what they cite
     return cited(settled(items, "papers"), facts)

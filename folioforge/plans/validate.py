@@ -17,6 +17,7 @@ from folioforge import lexicon as L
 from folioforge.errors import ValidationError
 from folioforge.functions import romanian as R
 from folioforge.functions import text as X
+from folioforge.tables import small
 
 _KEYS = ["paper_id", "version"]
 SIZES = {"I": 10, "II": 10, "III": 1, "IV": 3}
@@ -29,6 +30,11 @@ def _says(rows: DataFrame, rule: str, where: Column | str | None = None) -> Data
     return rows.select(*_KEYS, F.lit(rule).alias("rule"), item.alias("item"))
 
 
+def _cited(items: DataFrame, facts: DataFrame) -> DataFrame:
+    """The facts that items cite; a paper cites 28, however many it could."""
+    return facts.join(small(items.select(F.explode("fact_ids").alias("id")).distinct()), "id", "left_semi")
+
+
 def structural(items: DataFrame, selections: DataFrame, facts: DataFrame) -> DataFrame:
     """Sizes, domains, scope, balance of letters and answers, bijection, distinct facts."""
     papers = items.where("section <> 'error'")
@@ -138,7 +144,7 @@ def require_sound(violations: DataFrame) -> None:
 
 def coverage(items: DataFrame, facts: DataFrame) -> DataFrame:
     """(paper_id, version, passage, n): how often each chapter is cited."""
-    cited = items.select(*_KEYS, F.explode("fact_ids").alias("id")).join(facts.select("id", "evidence"), "id")
+    cited = items.select(*_KEYS, F.explode("fact_ids").alias("id")).join(_cited(items, facts).select("id", "evidence"), "id")
     return cited.groupBy(*_KEYS, F.concat_ws(" ", "evidence.book", F.col("evidence.chapter").cast("string")).alias("passage")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -60,3 +60,8 @@ def test_no_paper_without_rows(spark, large):
     from folioforge.operators.candidates import with_candidates
 
     assert papers(with_candidates(facts), spark.createDataFrame([("a", "b", 1)], "paper_id string, book string, chapter int")).isEmpty()
+
+
+def test_what_very_many_facts_are_cited_for_is_counted(spark, large):
+    rows = timed(lambda: catalogue.paper_coverage(spark, large).collect(), 60)
+    assert {v: sum(r["n"] for r in rows if r["version"] == v) for v in (1, 2)} == {1: 28, 2: 28}
