@@ -56,7 +56,7 @@ def structural(items: DataFrame, selections: DataFrame, facts: DataFrame) -> Dat
     used = papers.select(*_KEYS, F.explode("fact_ids").alias("id"))
     out.append(_says(used.groupBy(*_KEYS, "id").count(), "a fact is used twice", F.col("count") > 1))
     scope = selections.select("paper_id", "book", "chapter").distinct()
-    where = facts.select("id", F.col("evidence.book").alias("book"), F.col("evidence.chapter").alias("chapter"))
+    where = _cited(papers, facts.select("id", "evidence")).select("id", F.col("evidence.book").alias("book"), F.col("evidence.chapter").alias("chapter"))
     placed = papers.select(*_KEYS, "section", "ordinal", F.explode("fact_ids").alias("id")).join(where, "id", "left")
     out.append(_says(placed.where("book is null"), "unknown fact"))
     out.append(_says(placed.where("book is not null").join(scope, ["paper_id", "book", "chapter"], "left_anti"), "evidence out of scope"))
@@ -118,9 +118,10 @@ def _lists(items: DataFrame) -> DataFrame:
 def evidence(items: DataFrame, facts: DataFrame, verses: DataFrame, selections: DataFrame) -> DataFrame:
     """Whether the corpus bears out every answer, and the evidence is the corpus's own text."""
     papers = items.where("section <> 'error'")
-    known = facts.select("id", F.struct("object", "evidence").alias("e"))
+    cited = _cited(papers, facts.select("id", "object", "evidence")).cache()  # each rule reads them
+    known = cited.select("id", F.struct("object", "evidence").alias("e"))
     single = papers.where("section <> 'III'").withColumn("id", F.col("fact_ids")[0]).join(known, "id")
-    scope = selections.select("paper_id", "book", "chapter").distinct()
+    scope = small(selections.select("paper_id", "book", "chapter").distinct())
     targets = facts.join(scope, (F.col("evidence.book") == F.col("book")) & (F.col("evidence.chapter") == F.col("chapter"))).groupBy("paper_id").agg(F.collect_set("object").alias("targets"))
     out = [_says(_true_false(single, targets), "affirmation isn't borne out"), _says(_lists(single), "a member of the list isn't credited")]
     answer = F.element_at("options", F.col("correct")[0])
@@ -131,7 +132,7 @@ def evidence(items: DataFrame, facts: DataFrame, verses: DataFrame, selections:
     rows = rows.withColumn("id", F.col("r.fact_ids")).join(known, "id")
     both = F.contains("e.evidence.text", F.col("r.left_column")) & F.contains("e.evidence.text", F.element_at("options", F.col("r.correct")))
     out.append(_says(rows, "halves aren't in the verse", ~both))
-    used = papers.select(*_KEYS, "section", "ordinal", F.explode("fact_ids").alias("id")).join(known, "id").join(passage_text(facts, verses), "id", "left")
+    used = papers.select(*_KEYS, "section", "ordinal", F.explode("fact_ids").alias("id")).join(known, "id").join(passage_text(cited, verses), "id", "left")
     out.append(_says(used, "evidence isn't the corpus's text", ~X.squeeze(F.col("e.evidence.text")).eqNullSafe(F.col("verses_text"))))
     return reduce(DataFrame.unionByName, out)
 

@@ -10,7 +10,9 @@ from folioforge import lexicon as L
 from folioforge.functions import romanian as R
 from folioforge.plans import catalogue
 from folioforge.plans.paper import Rivals, papers
+from folioforge.plans.validate import coverage, evidence, structural
 from tests.corpus_fixture import DEEDS, ENDS
+from tests.test_papers import corpus, folder, made  # noqa: F401 (fixtures)
 from tests.test_readings import drawn
 
 
@@ -65,3 +67,19 @@ def test_no_paper_without_rows(spark, large):
 def test_what_very_many_facts_are_cited_for_is_counted(spark, large):
     rows = timed(lambda: catalogue.paper_coverage(spark, large).collect(), 60)
     assert {v: sum(r["n"] for r in rows if r["version"] == v) for v in (1, 2)} == {1: 28, 2: 28}
+
+
+def test_papers_of_very_many_facts_are_sound(spark, large):
+    assert timed(lambda: catalogue.paper_violations(spark, large).collect(), 120) == []
+
+
+def test_facts_that_no_paper_cites_are_not_looked_up(corpus, made):  # noqa: F811
+    """One that spans more verses than an array holds was an error."""
+    items, selections = made
+    verses, facts = corpus
+    cited = {i for r in items.select("fact_ids").collect() for i in r["fact_ids"]}
+    free = next(r["id"] for r in facts.select("id").orderBy("id").collect() if r["id"] not in cited)
+    last = F.when(F.col("id") == free, F.lit(2**31 - 1)).otherwise(F.col("evidence.verse_end"))
+    wide = facts.withColumn("evidence", F.col("evidence").withField("verse_end", last))
+    assert structural(items, selections, wide).isEmpty() and evidence(items, wide, verses, selections).isEmpty()
+    assert coverage(items, wide).agg(F.sum("n")).first()[0] == 28 * 4
