@@ -123,9 +123,14 @@ def safe_to_swap(value: Column) -> Column:
     return value != L.OBLIQUE_DEITY
 
 
+def head_word(value: Column) -> Column:
+    """What stands before the first white space; empty if there is nothing else."""
+    return F.regexp_extract(value, r"(?U)\S+", 0)
+
+
 def register(value: Column) -> Column:
-    head = F.get(F.split(squeeze(value), " "), F.lit(0))
-    return F.when(squeeze(value) == "", "empty").when(F.lower(head).isin(L.SUBORDINATE), "subordinate").when(starts_upper(head), "capitalised").otherwise("plain")
+    head = head_word(value)
+    return F.when(head == "", "empty").when(F.lower(head).isin(L.SUBORDINATE), "subordinate").when(starts_upper(head), "capitalised").otherwise("plain")
 
 
 def member_kind(value: Column) -> Column:
@@ -136,8 +141,7 @@ def member_kind(value: Column) -> Column:
 
 
 def clean_member(value: Column) -> Column:
-    head = F.lower(F.get(F.split(squeeze(value), " "), F.lit(0)))
-    return ~F.regexp_like(value, F.lit('[.,;:"„”«»!?()]')) & ~head.isin(L.LINKERS)
+    return ~F.regexp_like(value, F.lit('[.,;:"„”«»!?()]')) & ~F.lower(head_word(value)).isin(L.LINKERS)
 
 
 def numeral_value(word: Column) -> Column:

@@ -73,11 +73,12 @@ def sentence_columns(spark, sf_dir):
     """What each sentence leans on, how it begins, whether its first word stands in it once, and the kinds of a numeral and a list member that it is given."""
     docs = _read(spark, sf_dir, "documents")
     s = docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sentence_no", "sentence"))
-    t = F.col("sentence")
+    s = s.select("*", X.words(F.col("sentence")).alias("words"))  # a column, so that a sentence is read once and not for each of its words
+    t, words = F.col("sentence"), F.col("words")
     n = F.char_length(t)
-    first = F.get(X.words(t), F.lit(0))
+    first = F.get(words, F.lit(0))
     numeral, member = F.get(F.lit(_NUMERALS), n % len(_NUMERALS)), F.get(F.lit(_MEMBERS), (n + F.col("sentence_no")) % len(_MEMBERS))
-    sole = F.size(F.filter(X.words(t), lambda w: w == first)) == 1
+    sole = F.size(words) - F.size(F.array_remove(words, first)) == 1
     return s.select(
         "doc_id", "sentence_no", X.no_anaphora(t).alias("no_anaphora"), X.plural_pronouns_closed(t).alias("closed"), X.opens_quote(t).alias("opens_quote"), X.register(t).alias("register"), X.clean_member(t).alias("clean"),
         F.when(first.isNull(), False).otherwise(sole).alias("sole"), X.numeral_value(numeral).cast("int").alias("value"), X.member_kind(member).alias("kind"),
