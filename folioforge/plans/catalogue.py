@@ -486,14 +486,14 @@ def _customer_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("book", "chapter", key.cast("int").alias("verse"), told.alias("text"))
 
 
-def _customer_papers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _customer_papers(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     from folioforge.operators.candidates import with_candidates
     from folioforge.operators.facts import facts_of
     from folioforge.plans.paper import papers
 
-    verses = _customer_verses(spark, sf_dir)
-    facts = facts_of(verses)
-    selections = verses.select(F.col("book").alias("paper_id"), "book", "chapter").distinct()
+    verses = keep(_customer_verses(spark, sf_dir), "verses")
+    facts = keep(facts_of(verses), "facts")
+    selections = keep(verses.select(F.col("book").alias("paper_id"), "book", "chapter").distinct(), "selections")
     return papers(with_candidates(facts), selections, SEED, 1, 2), selections, facts, verses
 
 
@@ -508,8 +508,7 @@ def paper_violations(spark, sf_dir):
     """What the checks find in those papers: no row."""
     from folioforge.plans.validate import evidence, structural
 
-    items, selections, facts, verses = _customer_papers(spark, sf_dir)
-    facts = facts.cache()  # read for the papers, and again for what they cite
+    items, selections, facts, verses = _customer_papers(spark, sf_dir, settled)  # else the rules' plan repeats those plans, and takes the driver's memory
     items = settled(items, "papers")  # each rule reads them
     return structural(items, selections, facts).unionByName(evidence(items, facts, verses, selections))
 
